@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules
+from . import chat_format, fingerprints, mixing, quality_rules
 
-QUERIES = {f.__name__: f for f in (quality_rules.op6_quality_rules, chat_format.op10_chat_format)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        mixing.op1_mix_sources,
+        quality_rules.op6_quality_rules,
+        fingerprints.op7_fingerprints,
+        chat_format.op10_chat_format,
+    )
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
