@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprints, mixing, quality_rules
+from . import bpe, chat_format, fingerprints, mixing, quality_classifier, quality_rules
 
 QUERIES = {
     f.__name__: f
     for f in (
         mixing.op1_mix_sources,
+        bpe.op2_bpe,
+        quality_classifier.op3_quality_classifier,
         quality_rules.op6_quality_rules,
         fingerprints.op7_fingerprints,
         chat_format.op10_chat_format,
