@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bitmap_of, table, written
 
 #: The pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -221,12 +221,7 @@ def _shared_bits(docs: DataFrame, how: Chunking) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["key", "n"])
 
     counted = docs.select("text").mapInArrow(hashes, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    bits = counted.select(F.shiftrightunsigned("key", 64 - how.bitmap_bits).alias("bit"))
-    words64 = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
-    bitmap = np.zeros(1 << (how.bitmap_bits - 6), dtype=np.int64)
-    for word, bits in words64.toPandas().itertuples(index=False):
-        bitmap[word] = bits
-    return bitmap.view(np.uint64)
+    return bitmap_of(counted.select("key"), how.bitmap_bits)
 
 
 _ROW = "kind int, row_id string, doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, text string"

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap_of(keys: DataFrame, bits: int = 24) -> np.ndarray:
+    """A bitmap of 2**bits bits with the top bits of each 64-bit `key` set. Its size doesn't depend on the number of
+    keys; as more collide it only lets more through."""
+    bit = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
+    packed = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    got = packed.toPandas()
+    out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For 64-bit keys (uint64): whether their bit is set."""
+    bits = int(len(bitmap) * 64).bit_length() - 1
+    at = keys >> np.uint64(64 - bits)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def drop_written() -> None:
     """Removes the tables that written() made; call it when no frame over them is needed any more."""
     while _made:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprints, mixing, quality_classifier, quality_rules
+from . import bpe, chat_format, fingerprints, jaccard_join, mixing, quality_classifier, quality_rules
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         quality_classifier.op3_quality_classifier,
         quality_rules.op6_quality_rules,
         fingerprints.op7_fingerprints,
+        jaccard_join.op8_jaccard_join,
         chat_format.op10_chat_format,
     )
 }
