@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprints, jaccard_join, mixing, quality_classifier, quality_rules
+from . import bpe, chat_format, fingerprints, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         quality_rules.op6_quality_rules,
         fingerprints.op7_fingerprints,
         jaccard_join.op8_jaccard_join,
+        line_dedup.op9_line_dedup,
         chat_format.op10_chat_format,
     )
 }
