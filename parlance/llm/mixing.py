@@ -171,7 +171,8 @@ def plan(docs: DataFrame, mix: Mix = Mix(), text: str = "text") -> tuple[DataFra
     end = F.when(F.col("block") == final, F.col("source_size")).otherwise((F.col("block") + 1) * length)
     pieces = blocks.select("doc_id", "h", "again", "rank", "block", "start", F.greatest(F.col("start"), F.col("block") * length).alias("a"), F.least(F.col("start") + F.col("size"), end).alias("b"))
     taken = _cut(slots(spark, [(r["rank"], r["source_size"], r["target"]) for r in rows], mix))
-    mixed = taken.join(pieces, ["rank", "block"]).withColumn("b", F.least("b", F.col("block") * length + F.col("words"))).filter("b > a")
+    mixed = taken.hint("merge").join(pieces, ["rank", "block"])  # the optimizer takes the slots, made from a few shards, for few rows
+    mixed = mixed.withColumn("b", F.least("b", F.col("block") * length + F.col("words"))).filter("b > a")
     return sized, mixed.select("shard", "place", "pass", "doc_id", "h", "again", "rank", (F.col("a") - F.col("start")).alias("first"), (F.col("b") - F.col("start")).alias("last"))
 
 
