@@ -66,11 +66,11 @@ def _measured(docs: DataFrame, how: Join) -> tuple[DataFrame, tuple[bytes, bytes
                 keys.append(set_key(s) if len(s) else None)
             nothing = [pa.nulls(len(n), f.type) for f in STATS]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), batch.column(2), *nothing], schema=schema)
-        for i, once, twice in stats.segments():
-            yield pa.RecordBatch.from_pylist([{"segment": i, "once": once, "twice": twice}], schema=schema)
+        for row in stats.rows():
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     out = written(docs.select("doc_id", "text", F.xxhash64("text").alias("rh")).mapInArrow(measure, "doc_id bigint, n bigint, key binary, rh bigint, " + STATS_DDL))
-    return out.filter("segment is null").select("doc_id", "n", "key", "rh"), merged_stats(out.filter("segment is not null").select("segment", "once", "twice"))
+    return out.filter("segment is null").select("doc_id", "n", "key", "rh"), merged_stats(out.filter("segment is not null").select(*STATS.names))
 
 
 def level_of(freq: np.ndarray, n: int, how: Join) -> int:
@@ -88,7 +88,7 @@ def _index(docs: DataFrame, bits: np.ndarray, stats: tuple[bytes, bytes], how: J
     shared = spark.sparkContext.broadcast((bits.tobytes(), *stats))  # of fixed size
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, rarity = np.frombuffer(shared.value[0], dtype=np.uint64), Rarity.of(*shared.value[1:])
+        bitmap, rarity = np.frombuffer(shared.value[0], dtype=np.uint64), Rarity(*shared.value[1:])
         for batch in batches:
             wanted = in_bitmap(bitmap, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
             tokens, keys, sizes, levels, most, members, seen = [], [], [], [], [], [], set()

@@ -124,11 +124,11 @@ def _occurrences(docs: DataFrame, how: Lines) -> tuple[DataFrame, tuple[bytes, b
                 number = s.line - first[at] + np.array([x[2] for x in info])[at]
                 at = at.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([info[i][0] for i in at], pa.int64()), pa.array([info[i][1] for i in at], pa.int64()), pa.array(number), pa.array(s.keys, pa.binary()), *(pa.nulls(len(at), f.type) for f in STATS)], schema=schema)
-        for i, once, twice in stats.segments():
-            yield pa.RecordBatch.from_pylist([{"segment": i, "once": once, "twice": twice}], schema=schema)
+        for row in stats.rows():
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     out = written(docs.select("doc_id", "text", "rh").mapInArrow(measure, "doc_id bigint, rh bigint, line bigint, key binary, " + STATS_DDL))
-    return out.filter("segment is null").select("doc_id", "rh", "line", "key"), merged_stats(out.filter("segment is not null").select("segment", "once", "twice"))
+    return out.filter("segment is null").select("doc_id", "rh", "line", "key"), merged_stats(out.filter("segment is not null").select(*STATS.names))
 
 
 def _index(docs: DataFrame, stats: tuple[bytes, bytes], how: Lines) -> DataFrame:
@@ -136,7 +136,7 @@ def _index(docs: DataFrame, stats: tuple[bytes, bytes], how: Lines) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(stats)  # of fixed size
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = Rarity.of(*shared.value)
+        rarity = Rarity(*shared.value)
         for batch in batches:
             seen: set[bytes] = set()
             columns: list[list] = [[], [], [], [], []]

@@ -119,6 +119,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: rejected documents go, the others keep their cleaned text."""
     named = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("text"))
-    kept = judge(named).filter(F.col("verdict")["kept"]).withColumn("_clean", F.col("verdict")["cleaned_text"])
+    # a filter on the verdict would be pushed down and spell all of its expressions out again and again
+    judged = judge(named).withColumn("_v", F.col("verdict"))
+    kept = judged.select("_doc", F.explode_outer(F.when(F.col("_v")["kept"], F.array(F.col("_v")["cleaned_text"]))).alias("_clean")).filter(F.col("_clean").isNotNull())
     of = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("bigint")}
     return kept.select(*(of.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))

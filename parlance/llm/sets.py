@@ -6,7 +6,6 @@ import functools
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -92,19 +91,19 @@ def set_key(s: np.ndarray) -> bytes:
 
 # --- what all documents say about a token, in a fixed size -------------------------------------------------------
 
-CELL_BITS, PART = 22, 1 << 16  # counts; cells in a segment
-SEEN_BITS, SEEN_PART = 28, 1 << 22  # bits of the bitmap of tokens seen twice; bits in a segment
-STATS = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-STATS_DDL = "segment int, once binary, twice binary"
+SEEN_BITS, CELL_BITS = 27, 24  # bits of the bitmap of tokens seen twice; cells of the counts
+SEGMENTS = 128
+_BITS, _CELLS = (1 << SEEN_BITS) // SEGMENTS, (1 << CELL_BITS) // SEGMENTS
+STATS = pa.schema([("segment", pa.int32()), ("at", pa.binary()), ("counts", pa.binary()), ("once", pa.binary()), ("twice", pa.binary())])
+STATS_DDL = "segment int, at binary, counts binary, once binary, twice binary"
 
 
 class Stats:
-    """One task's tokens: a sketch of counts, and bitmaps of what was seen once and twice. Their size is fixed, so
+    """One task's tokens: counts by cell, and bitmaps of what was seen once and twice. Their size is fixed, so
     what is merged and broadcast doesn't grow with the documents; fuller cells only make rarity less sharp."""
 
     def __init__(self) -> None:
-        self.cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
-        self.once, self.twice = np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8), np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8)
+        self.cells = self.once = self.twice = None
         self.waiting: list[np.ndarray] = []
         self.n = 0
 
@@ -113,28 +112,48 @@ class Stats:
         self.waiting.append((tokens >> np.uint64(64 - SEEN_BITS)).astype(np.uint32))
         self.n += len(tokens)
         if self.n > 1 << 21:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.n:
-            at, n = np.unique(np.concatenate(self.waiting), return_counts=True)
-            self.cells += np.bincount(at >> np.uint32(SEEN_BITS - CELL_BITS), weights=n, minlength=1 << CELL_BITS).astype(np.uint32)
-            again = _bits(at[n > 1])
-            now = _bits(at)
-            for i, b in ((now, self.twice), (again, self.twice)):
-                b[i[0]] |= i[1] & (self.once[i[0]] if i is now else np.uint8(255))
-            self.once[now[0]] |= now[1]
-        self.waiting, self.n = [], 0
+            self._flush()
 
-    def segments(self) -> Iterator[tuple[int, bytes, bytes | None]]:
-        """Counts have numbers below 0, bitmaps from 0 on."""
-        self.flush()
-        for i, part in enumerate(self.cells.reshape(-1, PART)):
-            if part.any():
-                yield -1 - i, zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1), None
-        for i, (x, y) in enumerate(zip(self.once.reshape(-1, SEEN_PART // 8), self.twice.reshape(-1, SEEN_PART // 8), strict=True)):
-            if x.any():
-                yield i, zlib.compress(x.tobytes(), 1), zlib.compress(y.tobytes(), 1)
+    def _counted(self) -> tuple[np.ndarray, np.ndarray]:
+        at, n = np.unique(np.concatenate(self.waiting), return_counts=True) if self.n else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.waiting, self.n = [], 0
+        return at, np.minimum(n, 255).astype(np.uint8)
+
+    def _flush(self) -> None:
+        if self.cells is None:
+            self.cells = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+            self.once, self.twice = np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8), np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8)
+        _put(*self._counted(), self.cells, self.once, self.twice)
+
+    def rows(self) -> Iterator[dict]:
+        """Few tokens as a list, many as arrays; by segment."""
+        if self.cells is None:
+            at, n = self._counted()
+            ends = np.searchsorted(at, np.arange(1, SEGMENTS + 1, dtype=np.int64) * _BITS)
+            for i, (x, y) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
+                if y > x:
+                    yield {"segment": i, "at": (at[x:y] - np.uint32(i * _BITS)).astype("<u4").tobytes(), "counts": n[x:y].tobytes(), "once": None, "twice": None}
+            return
+        self._flush()
+        for i in range(SEGMENTS):
+            b = slice(i * _BITS // 8, (i + 1) * _BITS // 8)
+            if self.once[b].any():
+                yield {"segment": i, "at": None, "counts": zlib.compress(self.cells[i * _CELLS : (i + 1) * _CELLS].tobytes(), 1), "once": zlib.compress(self.once[b].tobytes(), 1), "twice": zlib.compress(self.twice[b].tobytes(), 1)}
+
+
+def _put(at: np.ndarray, n: np.ndarray, cells: np.ndarray, once: np.ndarray, twice: np.ndarray) -> None:
+    """Adds tokens (ascending bit numbers, counts) to counts and bitmaps."""
+    if not len(at):
+        return
+    cell = at >> np.uint32(SEEN_BITS - CELL_BITS)
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    sums = np.add.reduceat(n.astype(np.int64), first)
+    cells[cell[first]] = np.minimum(cells[cell[first]] + sums, np.iinfo(cells.dtype).max)
+    byte, bit = _bits(at)
+    twice[byte] |= bit & once[byte]
+    again = _bits(at[n > 1])
+    twice[again[0]] |= again[1]
+    once[byte] |= bit
 
 
 def _bits(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,52 +165,46 @@ def _bits(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return byte[first].astype(np.int64), np.bitwise_or.reduceat(np.left_shift(np.uint8(1), (at & np.uint32(7)).astype(np.uint8)), first)
 
 
-@dataclass
 class Rarity:
-    cells: np.ndarray
-    shared: np.ndarray
-    noise: float
+    """What the merged statistics say of a token."""
 
-    @classmethod
-    def of(cls, cells: bytes, shared: bytes) -> Rarity:
-        c = np.frombuffer(cells, dtype=np.uint16)
-        fill = float(np.median(c))
-        return cls(c, np.frombuffer(shared, dtype=np.uint8), fill + 4 * fill**0.5)
+    def __init__(self, cells: bytes, shared: bytes) -> None:
+        self.cells, self.shared = np.frombuffer(cells, dtype=np.uint8), np.frombuffer(shared, dtype=np.uint8)
 
     def frequency(self, tokens: np.ndarray) -> np.ndarray:
-        """0: certainly in one set only. Else an estimate: what the cell holds beyond the usual fill, 1 at least."""
+        """0: certainly in one set only. Else what the token's cell holds: its frequency or more."""
         at = tokens >> np.uint64(64 - SEEN_BITS)
         more = (self.shared[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-        f = np.maximum(self.cells[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.float64) - self.noise, 1.0)
-        return np.where(more == 1, f, 0.0)
+        code = self.cells[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.float64)
+        return np.where(more == 1, np.maximum(np.where(code < 128, code, 128 * 2 ** ((code - 128) / 8)), 2.0), 0.0)
 
 
 def merged_stats(parts: DataFrame) -> tuple[bytes, bytes]:
-    """All tasks' statistics in one: segments are added up as they stream in, a few MB of each kind come to the driver."""
+    """All tasks' statistics in one: counts (from 128 on as logarithms) and the bitmap of tokens seen twice. Segments
+    are added up as they stream in; 2**CELL_BITS + 2**SEEN_BITS / 8 bytes come to the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for i, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if i < 0:
-                    v = np.frombuffer(zlib.decompress(x), dtype="<u2").astype(np.uint32)
-                    counts[i] = counts[i] + v if i in counts else v
+            for i, at, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if i not in held:
+                    held[i] = np.zeros(_CELLS, np.uint32), np.zeros(_BITS // 8, np.uint8), np.zeros(_BITS // 8, np.uint8)
+                cells, once, twice = held[i]
+                if at is not None:
+                    _put(np.frombuffer(at, dtype="<u4"), np.frombuffer(n, dtype=np.uint8), cells, once, twice)
                 else:
-                    once, twice = (np.frombuffer(zlib.decompress(z), dtype=np.uint8) for z in (x, y))
-                    a, b = seen.get(i, (np.zeros_like(once), np.zeros_like(once)))
-                    seen[i] = a | once, b | twice | (a & once)
-        rows = [(i, np.minimum(v, 65535).astype("<u2").tobytes()) for i, v in counts.items()] + [(i, b.tobytes()) for i, (_, b) in seen.items()]
-        for i, v in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v], pa.binary())], ["segment", "sums"])
-
-    cells, shared = np.zeros(1 << CELL_BITS, dtype=np.uint16), np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8)
-    for i, v in parts.repartition(128, "segment").mapInArrow(add, "segment int, sums binary").collect():  # 2 * 64 rows
-        if i < 0:
-            cells.reshape(-1, PART)[-1 - i] = np.frombuffer(v, dtype="<u2")
-        else:
-            shared.reshape(-1, SEEN_PART // 8)[i] = np.frombuffer(v, dtype=np.uint8)
-    return cells.tobytes(), shared.tobytes()
+                    c, o, t = (np.frombuffer(zlib.decompress(z), dtype=np.uint8) for z in (n, x, y))
+                    cells += c
+                    twice |= t | (once & o)
+                    once |= o
+        for i, (cells, _, twice) in held.items():
+            code = np.where(cells < 128, cells, np.minimum(255, 128 + 8 * np.log2(np.maximum(cells, 128) / 128))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([code.tobytes()], pa.binary()), pa.array([twice.tobytes()], pa.binary())], ["segment", "cells", "twice"])
+
+    cells, shared = bytearray(1 << CELL_BITS), bytearray(1 << (SEEN_BITS - 3))
+    for i, c, t in parts.repartition(SEGMENTS, "segment").mapInArrow(add, "segment int, cells binary, twice binary").toLocalIterator():
+        cells[i * _CELLS : (i + 1) * _CELLS], shared[i * _BITS // 8 : (i + 1) * _BITS // 8] = c, t
+    return bytes(cells), bytes(shared)
 
 
 # --- connected components ------------------------------------------------------------------------------------
