@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, in_batches, merged_stats, mixed, overlap, word_hashes
+from .common import bitmap_of, in_bitmap, table, written
+from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, distinct, in_batches, merged_stats, mixed, overlap, word_hashes
 
 LINE_BITS = 20  # lines in a buffer; the other 44 bits of a sort key are the token
 
@@ -39,6 +40,7 @@ LINE_BITS = 20  # lines in a buffer; the other 44 bits of a sort key are the tok
 class Lines:
     words: int = 5
     percent: int = 80
+    bitmap_bits: int = 26
 
 
 @dataclass
@@ -52,7 +54,8 @@ class LineSets:
     keys: list[bytes]
 
 
-def line_sets(data: bytes, how: Lines) -> LineSets:
+def line_sets(data: bytes, how: Lines, wanted: np.ndarray | None = None) -> LineSets:
+    """wanted: a flag for each line; the others are left out."""
     b = np.frombuffer(data, dtype=np.uint8)
     space = (b == 0x20) | ((b >= 0x09) & (b <= 0x0D))
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
@@ -63,10 +66,12 @@ def line_sets(data: bytes, how: Lines) -> LineSets:
     if n < k:
         return empty
     within = line[: n - k + 1] == line[k - 1 :]
+    if wanted is not None:
+        within &= wanted[line[: n - k + 1]]
     h = np.zeros(n - k + 1, dtype=np.uint64)
     for j in range(k):
         h = h * _MIX[3] + mixed(words[j : n - k + 1 + j] + _MIX[2 + j % 4])
-    packed = np.unique((line[: n - k + 1][within].astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (mixed(h[within]) >> np.uint64(LINE_BITS)))
+    packed = distinct((line[: n - k + 1][within].astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (mixed(h[within]) >> np.uint64(LINE_BITS)))
     if not len(packed):
         return empty
     of = (packed >> np.uint64(64 - LINE_BITS)).astype(np.int64)
@@ -108,42 +113,63 @@ def _joined(held: list[bytes], info: list[tuple]) -> tuple[bytes, np.ndarray, li
     return b"\n".join(held), first, info
 
 
-def _occurrences(docs: DataFrame, how: Lines) -> tuple[DataFrame, tuple[bytes, bytes]]:
-    """(doc_id, rh, line, key) of each line with a set, and what is known of the tokens, from one pass."""
-    schema = pa.schema([("doc_id", pa.int64()), ("rh", pa.int64()), ("line", pa.int64()), ("key", pa.binary()), *STATS])
+def _places(first: np.ndarray, info: list[tuple], lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a buffer's lines: the document, the number within it, and a hash of both."""
+    at = np.searchsorted(first, lines, side="right") - 1
+    number = lines - first[at] + np.array([x[2] for x in info], dtype=np.int64)[at]
+    own = np.array([x[1] for x in info], dtype=np.int64).view(np.uint64) ^ mixed(np.array([x[0] or 0 for x in info], dtype=np.int64).view(np.uint64))
+    return at, number, mixed(own[at] + number.view(np.uint64) * _MIX[3])
+
+
+def _occurrences(docs: DataFrame, how: Lines) -> DataFrame:
+    """(doc_id, rh, line, place, key) of each line that has a set; place: a hash of the first three."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats = Stats()
         for batch in batches:
             for data, first, info in _buffers(*(batch.column(i).to_pylist() for i in range(3))):
                 s = line_sets(data, how)
-                stats.add(s.tokens)
                 if not len(s.line):
                     continue
-                at = np.searchsorted(first, s.line, side="right") - 1
-                number = s.line - first[at] + np.array([x[2] for x in info])[at]
-                at = at.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([info[i][0] for i in at], pa.int64()), pa.array([info[i][1] for i in at], pa.int64()), pa.array(number), pa.array(s.keys, pa.binary()), *(pa.nulls(len(at), f.type) for f in STATS)], schema=schema)
+                at, number, place = _places(first, info, s.line)
+                ids, hashes = pa.array([x[0] for x in info], pa.int64()), pa.array([x[1] for x in info], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), hashes.take(pa.array(at)), pa.array(number), pa.array(place.view(np.int64)), pa.array(s.keys, pa.binary())], ["doc_id", "rh", "line", "place", "key"])
+
+    return written(docs.select("doc_id", "text", "rh").mapInArrow(measure, "doc_id bigint, rh bigint, line bigint, place bigint, key binary"))
+
+
+def _first_lines(batch: pa.RecordBatch, bitmap: np.ndarray, how: Lines) -> Iterator[LineSets]:
+    """The sets of a batch's lines that may be the first of their kind: all that are, and few others."""
+    for data, first, info in _buffers(*(batch.column(i).to_pylist() for i in range(3))):
+        lines = np.arange(data.count(b"\n") + 1, dtype=np.int64)
+        s = line_sets(data, how, in_bitmap(bitmap, _places(first, info, lines)[2]))
+        if len(s.line):
+            yield s
+
+
+def _stats(docs: DataFrame, firsts: Broadcast, how: Lines) -> tuple[bytes, bytes]:
+    """What is known of the tokens of distinct lines: copies of a line don't make its tokens frequent."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, bitmap = Stats(), np.frombuffer(firsts.value, dtype=np.uint64)
+        for batch in batches:
+            for s in _first_lines(batch, bitmap, how):
+                stats.add(s.tokens)
         for row in stats.rows():
-            yield pa.RecordBatch.from_pylist([row], schema=schema)
+            yield pa.RecordBatch.from_pylist([row], schema=STATS)
 
-    out = written(docs.select("doc_id", "text", "rh").mapInArrow(measure, "doc_id bigint, rh bigint, line bigint, key binary, " + STATS_DDL))
-    return out.filter("segment is null").select("doc_id", "rh", "line", "key"), merged_stats(out.filter("segment is not null").select(*STATS.names))
+    return merged_stats(docs.select("doc_id", "text", "rh").mapInArrow(measure, STATS_DDL))
 
 
-def _index(docs: DataFrame, stats: tuple[bytes, bytes], how: Lines) -> DataFrame:
+def _index(docs: DataFrame, firsts: Broadcast, stats: tuple[bytes, bytes], how: Lines) -> DataFrame:
     """(token, key, n, pos), and a row with `members` for each line that has any."""
     shared = docs.sparkSession.sparkContext.broadcast(stats)  # of fixed size
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = Rarity(*shared.value)
+        rarity, bitmap = Rarity(*shared.value), np.frombuffer(firsts.value, dtype=np.uint64)
         for batch in batches:
             seen: set[bytes] = set()
             columns: list[list] = [[], [], [], [], []]
-            for data, _, _ in _buffers(*(batch.column(i).to_pylist() for i in range(3))):
-                s = line_sets(data, how)
-                if not len(s.line):
-                    continue
+            for s in _first_lines(batch, bitmap, how):
                 f = rarity.frequency(s.tokens)
                 alone = np.add.reduceat((f == 0).astype(np.int64), s.start)
                 prefix = s.size - -(-how.percent * s.size // 100) + 1
@@ -178,10 +204,11 @@ def _matching(pairs: DataFrame, sets: DataFrame, how: Lines) -> DataFrame:
 
 def removed_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """(doc_id, rh, lines): for each document that loses any, the numbers of its lines that go. `docs`: doc_id, text, rh."""
-    lines, stats = _occurrences(docs, how)
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rh", "line")
+    lines = _occurrences(docs, how)
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rh", "line", "place")
     firsts = written(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
-    made = _index(docs, stats, how)
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(firsts.select(F.col("first.place").alias("key")), how.bitmap_bits).tobytes())  # 2**bitmap_bits bits
+    made = _index(docs, bitmap, _stats(docs, bitmap, how), how)
     sets = written(made.filter("members is not null").select("key", "members").dropDuplicates(["key"]))
     index = made.filter("members is null").drop("members").dropDuplicates(["token", "key"])
     group = Window.partitionBy("token")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .sets import distinct
 
 GRAMS = 1 << 24
 
@@ -49,7 +50,7 @@ def grams(data: bytes, piece: int = 1 << 20) -> np.ndarray:
     out = np.zeros(0, dtype=np.int32)
     for at in range(0, len(b) - 2, piece):
         p = b[at : at + piece + 2].astype(np.int32)
-        g = np.unique((p[:-2] << 16) | (p[1:-1] << 8) | p[2:])
+        g = distinct((p[:-2] << 16) | (p[1:-1] << 8) | p[2:])
         out = g if not len(out) else np.union1d(out, g)
     return out
 

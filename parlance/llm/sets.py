@@ -69,6 +69,12 @@ def word_hashes(data: bytes, fold: bool = True) -> np.ndarray:
     return np.concatenate(out)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; several times as fast as numpy's hashing unique on such arrays."""
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     """The distinct k-word shingles, ascending; with fewer words the whole sequence is the only one."""
     n = len(words)
@@ -82,7 +88,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     h = np.zeros(n - k + 1, dtype=np.uint64)
     for j in range(k):
         h = h * _MIX[3] + mixed(words[j : n - k + 1 + j] + _MIX[2 + j % 4])
-    return np.unique(mixed(h))
+    return distinct(mixed(h))
 
 
 def set_key(s: np.ndarray) -> bytes:
