@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,27 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """Arrays of bytes for all tasks: broadcast compressed, opened once a worker, taken back with close()."""
+
+    def __init__(self, spark: SparkSession, *parts: bytes) -> None:
+        self.held = spark.sparkContext.broadcast([zlib.compress(p, 1) for p in parts])
+        self.name = uuid.uuid4().hex
+
+    def get(self) -> list[bytes]:
+        if self.name not in _open:
+            while len(_open) > 1:
+                _open.pop(next(iter(_open)))
+            _open[self.name] = [zlib.decompress(p) for p in self.held.value]
+        return _open[self.name]
+
+    def close(self) -> None:
+        self.held.destroy()
+
+
+_open: dict[str, list[bytes]] = {}
+
+
 def bitmap_of(keys: DataFrame, bits: int = 24) -> np.ndarray:
     """A bitmap of 2**bits bits with the top bits of each 64-bit `key` set. Its size doesn't depend on the number of
     keys; as more collide it only lets more through."""

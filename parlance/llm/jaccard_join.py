@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, table, written
+from .common import Shared, bitmap_of, in_bitmap, table, written
 from .sets import STATS, STATS_DDL, Rarity, Stats, components, in_batches, merged_stats, overlap, set_key, shingle_set, word_hashes
 
 
@@ -84,11 +84,11 @@ def level_of(freq: np.ndarray, n: int, how: Join) -> int:
 def _index(docs: DataFrame, bits: np.ndarray, stats: tuple[bytes, bytes], how: Join) -> DataFrame:
     """(token, key, n, level, most): prefix shingles of each distinct set; level: the least at which it belongs. A
     shingle that no other set has finds nothing and is left out; sets that keep any come along as rows with `members`."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((bits.tobytes(), *stats))  # of fixed size
+    shared = Shared(docs.sparkSession, bits.tobytes(), *stats)  # of fixed size
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, rarity = np.frombuffer(shared.value[0], dtype=np.uint64), Rarity(*shared.value[1:])
+        opened = shared.get()
+        bitmap, rarity = np.frombuffer(opened[0], dtype=np.uint64), Rarity(*opened[1:])
         for batch in batches:
             wanted = in_bitmap(bitmap, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
             tokens, keys, sizes, levels, most, members, seen = [], [], [], [], [], [], set()
@@ -116,7 +116,9 @@ def _index(docs: DataFrame, bits: np.ndarray, stats: tuple[bytes, bytes], how: J
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(keys, pa.binary()), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (sizes, levels, most)), pa.array(members, pa.binary())], ["token", "key", "n", "level", "most", "members"])
 
-    return written(docs.select("text", F.xxhash64("text").alias("rh")).mapInArrow(emit, "token bigint, key binary, n int, level int, most int, members binary"))
+    out = written(docs.select("text", F.xxhash64("text").alias("rh")).mapInArrow(emit, "token bigint, key binary, n int, level int, most int, members binary"))
+    shared.close()
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:

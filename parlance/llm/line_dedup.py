@@ -26,11 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, table, written
+from .common import Shared, bitmap_of, in_bitmap, table, written
 from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, distinct, in_batches, merged_stats, mixed, overlap, word_hashes
 
 LINE_BITS = 20  # lines in a buffer; the other 44 bits of a sort key are the token
@@ -146,11 +145,11 @@ def _first_lines(batch: pa.RecordBatch, bitmap: np.ndarray, how: Lines) -> Itera
             yield s
 
 
-def _stats(docs: DataFrame, firsts: Broadcast, how: Lines) -> tuple[bytes, bytes]:
+def _stats(docs: DataFrame, firsts: Shared, how: Lines) -> tuple[bytes, bytes]:
     """What is known of the tokens of distinct lines: copies of a line don't make its tokens frequent."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, bitmap = Stats(), np.frombuffer(firsts.value, dtype=np.uint64)
+        stats, bitmap = Stats(), np.frombuffer(firsts.get()[0], dtype=np.uint64)
         for batch in batches:
             for s in _first_lines(batch, bitmap, how):
                 stats.add(s.tokens)
@@ -160,12 +159,12 @@ def _stats(docs: DataFrame, firsts: Broadcast, how: Lines) -> tuple[bytes, bytes
     return merged_stats(docs.select("doc_id", "text", "rh").mapInArrow(measure, STATS_DDL))
 
 
-def _index(docs: DataFrame, firsts: Broadcast, stats: tuple[bytes, bytes], how: Lines) -> DataFrame:
+def _index(docs: DataFrame, firsts: Shared, stats: tuple[bytes, bytes], how: Lines) -> DataFrame:
     """(token, key, n, pos), and a row with `members` for each line that has any."""
-    shared = docs.sparkSession.sparkContext.broadcast(stats)  # of fixed size
+    shared = Shared(docs.sparkSession, *stats)  # of fixed size
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, bitmap = Rarity(*shared.value), np.frombuffer(firsts.value, dtype=np.uint64)
+        rarity, bitmap = Rarity(*shared.get()), np.frombuffer(firsts.get()[0], dtype=np.uint64)
         for batch in batches:
             seen: set[bytes] = set()
             columns: list[list] = [[], [], [], [], []]
@@ -185,7 +184,9 @@ def _index(docs: DataFrame, firsts: Broadcast, stats: tuple[bytes, bytes], how:
                         c += v
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["token", "key", "n", "pos", "members"])
 
-    return written(docs.select("doc_id", "text", "rh").mapInArrow(emit, "token bigint, key binary, n int, pos int, members binary"))
+    out = written(docs.select("doc_id", "text", "rh").mapInArrow(emit, "token bigint, key binary, n int, pos int, members binary"))
+    shared.close()
+    return out
 
 
 def _matching(pairs: DataFrame, sets: DataFrame, how: Lines) -> DataFrame:
@@ -207,8 +208,9 @@ def removed_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     lines = _occurrences(docs, how)
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rh", "line", "place")
     firsts = written(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(firsts.select(F.col("first.place").alias("key")), how.bitmap_bits).tobytes())  # 2**bitmap_bits bits
+    bitmap = Shared(docs.sparkSession, bitmap_of(firsts.select(F.col("first.place").alias("key")), how.bitmap_bits).tobytes())  # 2**bitmap_bits bits
     made = _index(docs, bitmap, _stats(docs, bitmap, how), how)
+    bitmap.close()
     sets = written(made.filter("members is not null").select("key", "members").dropDuplicates(["key"]))
     index = made.filter("members is null").drop("members").dropDuplicates(["token", "key"])
     group = Window.partitionBy("token")
