@@ -1 +1 @@
-
+"""Operators over conversation data."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import prompts, records, texts
+
+QUERIES = prompts.QUERIES | records.QUERIES | texts.QUERIES
+ORACLES = prompts.ORACLES | records.ORACLES | texts.ORACLES
