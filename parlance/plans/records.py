@@ -113,8 +113,8 @@ def _once(source: str) -> str:
 
 
 _SIZE_SQL = f"""WITH src AS (SELECT l_orderkey * 10 + l_linenumber AS k, (l_partkey * 37 % 6000 + 1)::BIGINT AS w, (l_suppkey * 91 % 5000 + 1)::BIGINT AS h FROM lineitem),
-t1 AS {_once('src')}, t2 AS {_once('t1')}, t3 AS {_once('t2')}, t4 AS {_once('t3')}, t5 AS {_once('t4')},
-s AS (SELECT k, w AS bw, h AS bh, (h // 14 + 2) // 3 AS gh, (w // 14 + 2) // 3 AS gw FROM t5)"""
+{", ".join(f"t{i} AS MATERIALIZED {_once(f't{i - 1}' if i else 'src')}" for i in range(10))},
+s AS (SELECT k, w AS bw, h AS bh, (h // 14 + 2) // 3 AS gh, (w // 14 + 2) // 3 AS gw FROM t9)"""
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
