@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprints, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules
+from . import bpe, chat_format, fingerprints, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         mixing.op1_mix_sources,
         bpe.op2_bpe,
         quality_classifier.op3_quality_classifier,
+        suffix_dedup.op4_suffix_dedup,
         license_scan.op5_license_scan,
         quality_rules.op6_quality_rules,
         fingerprints.op7_fingerprints,
