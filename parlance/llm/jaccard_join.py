@@ -5,9 +5,9 @@ keeps its first n - ceil(t n) + l shingles, and two similar sets share at least
 level of the least estimated cost: rows in the index plus candidates, at most (sum of its prefix's
 frequencies) / l. A pair is verified when it shares min(l, l') prefix shingles of that level.
 
-Equal sets are one from the start. Of each index list, members are first paired with its smallest set only
-(linear in the list); what these verified links connect need not be paired again. Then, exactly: in lists with
-more than one component, members outside the list's largest one are paired with all of the others. A list of
+Equal sets are one from the start. In a few turns, members of index lists are paired with one drawn member of their
+list only (linear in the list); what these verified links connect need not be paired again. Then, exactly: in lists
+with more than one component, members outside the list's largest one are paired with all of the others. A list of
 thousands of near copies so makes thousands of pairs, not millions, and no link between components is lost.
 
 Set elements are 64-bit hashes; equality of whole sets goes by 128-bit hashes. What is known of shingle frequencies
@@ -38,6 +38,9 @@ class Join:
     words: int = 4
     percent: int = 85
     most_level: int = 16
+    #: How often lists are drawn for pairs with one member of theirs, and which part of them each time.
+    turns: int = 4
+    share: int = 8
 
     def needed(self, n: int) -> int:
         """Least overlap of a set of n with any similar set."""
@@ -144,15 +147,24 @@ def similar(docs: DataFrame, how: Join = Join()) -> tuple[DataFrame, DataFrame]:
     sets = written(made.filter("members is not null").select("key", "members").dropDuplicates(["key"]))
     index = made.filter("members is null").drop("members").dropDuplicates(["token", "key"])
     group = Window.partitionBy("token")
-    lists = index.withColumn("size", F.count("*").over(group)).withColumn("pivot", F.min(F.struct("key", "n", "most")).over(group)).filter("size > 1")
-    lists = written(lists)
+    lists = written(index.withColumn("size", F.count("*").over(group)).filter("size > 1").drop("size"))
     fits = lambda n, m: how.percent * F.greatest(n, m) <= 100 * F.least(n, m)
-    star = lists.filter((F.col("key") != F.col("pivot.key")) & fits(F.col("n"), F.col("pivot.n")))
-    star = star.groupBy(F.col("pivot.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("most", "pivot.most")).alias("need")).filter("c >= need")
-    links = written(_verified(star, sets, how))
-    classes = components(links)
+    links, classes = None, None
+    for turn in range(how.turns):
+        # each turn another eighth of the lists, and another member of each, so a set meets some ten members of its kind
+        drawn = lists.filter(F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(how.share)) == 0)
+        if classes is None:
+            drawn = drawn.withColumn("comp", F.col("key"))
+        else:
+            drawn = drawn.join(classes.toDF("key", "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+        drawn = drawn.withColumn("p", F.min(F.struct(F.xxhash64("token", "key", F.lit(turn)).alias("h"), "key", "n", "comp")).over(group))
+        star = drawn.filter((F.col("comp") != F.col("p.comp")) & fits(F.col("n"), F.col("p.n")))
+        star = star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
+        found = written(_verified(star, sets, how))
+        links = found if links is None else written(links.unionByName(found))
+        classes = components(links)
     # exactly: pairs across components
-    named = lists.drop("pivot", "size").join(classes.toDF("key", "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    named = lists.join(classes.toDF("key", "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     group_sizes = named.groupBy("token", "comp").agg(F.count("*").alias("c"))
     mixed = group_sizes.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("big")).filter("comps > 1").select("token", F.col("big.comp").alias("big"))
     named = written(named.join(mixed, "token").withColumn("outside", F.col("comp") != F.col("big")))
