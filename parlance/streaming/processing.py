@@ -103,8 +103,9 @@ class _Stateful(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         p = pickle.loads(self.state.get()[0]) if self.state.exists() else Processor(key[0], *self.how)
         events = [e for c in _chunks(pd.concat(list(rows))) for e in p.push(c)]
+        out = pd.DataFrame(p.rows(key[0], events), columns=["stream_id", "event_seq", "event_name", "data"])
         self.state.update((pickle.dumps(p),))
-        yield pd.DataFrame(p.rows(key[0], events), columns=["stream_id", "event_seq", "event_name", "data"])
+        yield out
 
     def close(self) -> None:
         pass
