@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import outputs, prompts, records, texts
+from . import outputs, prompts, records, requests, texts
 
-QUERIES = outputs.QUERIES | prompts.QUERIES | records.QUERIES | texts.QUERIES
-ORACLES = outputs.ORACLES | prompts.ORACLES | records.ORACLES | texts.ORACLES
+QUERIES = outputs.QUERIES | prompts.QUERIES | records.QUERIES | requests.QUERIES | texts.QUERIES
+ORACLES = outputs.ORACLES | prompts.ORACLES | records.ORACLES | requests.ORACLES | texts.ORACLES
