@@ -41,7 +41,7 @@ from .sets import _MIX, _letters, _powers, mixed
 @dataclass(frozen=True)
 class Spans:
     length: int = 400
-    gram: int = 24
+    gram: int = 96
     #: Windows of one context at most; contexts of one anchor in a shard at most.
     most_windows: int = 1024
     hot: int = 2000
@@ -73,11 +73,10 @@ class Contexts:
     first: np.ndarray  # first window
     windows: np.ndarray
     same: np.ndarray  # a hash of the context's bytes and length
-    inner: np.ndarray  # windows that repeat within the text, ascending
-    hashes: np.ndarray  # of all windows
+    inner: np.ndarray  # windows that repeat within the text, ascending, if asked for
 
 
-def contexts(b: np.ndarray, how: Spans) -> Contexts | None:
+def contexts(b: np.ndarray, how: Spans, inner: bool = False) -> Contexts | None:
     """Of one text; very long ones cost some 60 bytes a byte."""
     n, width = len(b), how.length
     if n < width:
@@ -95,10 +94,13 @@ def contexts(b: np.ndarray, how: Spans) -> Contexts | None:
         run = np.diff(np.append(cut, len(least)))
     end = cut + run - 1 + width
     same = mixed((sums[end] - sums[cut]) * inverse[cut]) ^ mixed(run.astype(np.uint64) * _MIX[2] + hashes[cut])
-    order = np.argsort(hashes, kind="stable")
-    twin = hashes[order[1:]] == hashes[order[:-1]]
-    inner = np.unique(np.concatenate((order[1:][twin], order[:-1][twin]))) if twin.any() else np.zeros(0, np.int64)
-    return Contexts(least[cut], cut, run, same, inner, hashes)
+    again = np.zeros(0, np.int64)
+    if inner:
+        ordered = np.sort(hashes)
+        twins = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(twins):
+            again = np.flatnonzero(np.isin(hashes, twins, kind="sort"))
+    return Contexts(least[cut], cut, run, same, again)
 
 
 # --- induced sorting --------------------------------------------------------------------------------------------
@@ -287,7 +289,7 @@ def _occurrences(docs: DataFrame, how: Spans) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = contexts(np.frombuffer(text.encode(), dtype=np.uint8), how)
+                c = contexts(np.frombuffer(text.encode(), dtype=np.uint8), how, inner=True)
                 if c is None:
                     continue
                 first, run = _runs(c.inner) if len(c.inner) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -346,6 +348,8 @@ def _shards(cold: DataFrame, how: Spans) -> DataFrame:
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and row[:2] == held[-1][:2]:
+                    continue
                 if size > how.shard_bytes and row[0] != held[-1][0]:  # a shard ends between anchors
                     yield solve(held)
                     held, size = [], 0
@@ -354,7 +358,8 @@ def _shards(cold: DataFrame, how: Spans) -> DataFrame:
         if held:
             yield solve(held)
 
-    dealt = cold.select("anchor", "same", "bytes").dropDuplicates(["anchor", "same"])
+    # dealt by anchor once; a context that several tasks sent stands next to its copies and is passed over
+    dealt = cold.select("anchor", "same", "bytes")
     return dealt.repartition("anchor").sortWithinPartitions("anchor", "same").mapInArrow(walk, "anchor bigint, same bigint, lo bigint, n int")
 
 

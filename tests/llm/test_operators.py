@@ -64,7 +64,7 @@ def test_quality_rules(docs, empty, rows):
 def test_quality_rules_drop_navigation_and_keep_prose(spark):
     prose = _text(random.Random(1), 80)
     menu = " | ".join(f"item{i}" for i in range(80))
-    df = spark.createDataFrame([(1, prose), (2, menu), (3, prose + "\n" + " | ".join("abc"))], "doc_id bigint, text string")
+    df = spark.createDataFrame([(1, prose), (2, menu), (3, prose + "\n" + " | ".join("abcde"))], "doc_id bigint, text string")
     kept = {r["doc_id"]: (r["verdict"]["kept"], r["verdict"]["cleaned_text"]) for r in quality_rules.judge(df).collect()}
     assert kept[1] == (True, prose) and not kept[2][0] and kept[3] == (True, prose)
 
