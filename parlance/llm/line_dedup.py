@@ -6,9 +6,9 @@ length filter and the positional filter (what can still follow the two positions
 whole sets are compared. A line goes if an earlier line of any document matches it: order is (doc_id, text,
 line number), so the first of all matching lines always stays.
 
-Lines of one set are one from the start, however many copies there are. In each index list, lines are first
-compared with its earliest only; those that match it are settled. Only the others are compared with all
-earlier lines of the list, so no list is paired off as a whole and no match is lost.
+Lines of one set are one from the start, however many copies there are. In a few turns, the lines of each index list
+are compared with one drawn member of it; the later of two that match is settled. Only lines that aren't are then
+compared with all earlier lines of their lists, so few lists are paired off and no match is lost.
 
 Rarity: sets.Stats says which shingles certainly occur once; they stand first and need no row in the index. The
 rest is ordered by an estimated frequency. Tokens are 44-bit hashes within the join, set keys 128 bits.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Shared, bitmap_of, in_bitmap, table, written
-from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, distinct, in_batches, merged_stats, mixed, overlap, word_hashes
+from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, distinct, in_batches, merged_stats, mixed, overlap, placed_words, shingles
 
 LINE_BITS = 20  # lines in a buffer; the other 44 bits of a sort key are the token
 
@@ -40,6 +40,8 @@ class Lines:
     words: int = 5
     percent: int = 80
     bitmap_bits: int = 24
+    #: How often a member of each index list is drawn before the exact step.
+    turns: int = 3
 
 
 @dataclass
@@ -55,11 +57,8 @@ class LineSets:
 
 def line_sets(data: bytes, how: Lines, wanted: np.ndarray | None = None) -> LineSets:
     """wanted: a flag for each line; the others are left out."""
-    b = np.frombuffer(data, dtype=np.uint8)
-    space = (b == 0x20) | ((b >= 0x09) & (b <= 0x0D))
-    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    line = np.cumsum(b == 10, dtype=np.int64)[starts] if len(b) else np.zeros(0, np.int64)
-    words = word_hashes(data)
+    starts, words = placed_words(data)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10), starts)
     n, k = len(words), how.words
     empty = LineSets(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), [])
     if n < k:
@@ -67,10 +66,8 @@ def line_sets(data: bytes, how: Lines, wanted: np.ndarray | None = None) -> Line
     within = line[: n - k + 1] == line[k - 1 :]
     if wanted is not None:
         within &= wanted[line[: n - k + 1]]
-    h = np.zeros(n - k + 1, dtype=np.uint64)
-    for j in range(k):
-        h = h * _MIX[3] + mixed(words[j : n - k + 1 + j] + _MIX[2 + j % 4])
-    packed = distinct((line[: n - k + 1][within].astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (mixed(h[within]) >> np.uint64(LINE_BITS)))
+    h = shingles(words, k)
+    packed = distinct((line[: n - k + 1][within].astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (h[within] >> np.uint64(LINE_BITS)))
     if not len(packed):
         return empty
     of = (packed >> np.uint64(64 - LINE_BITS)).astype(np.int64)
@@ -215,16 +212,24 @@ def removed_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     index = made.filter("members is null").drop("members").dropDuplicates(["token", "key"])
     group = Window.partitionBy("token")
     lists = index.withColumn("size", F.count("*").over(group)).filter("size > 1").drop("size").join(firsts.select("key", "first"), "key")
-    lists = written(lists.withColumn("head", F.min(F.struct("first", "key", "n", "pos")).over(group)))
+    lists = written(lists)
 
     def may_match(n, i, m, j):  # noqa: ANN001, ANN202
         """Length and positional filters for sets of n and m whose tokens agree at positions i and j."""
         most = 1 + F.least(n - i - 1, m - j - 1) + F.least(i, j)
         return (how.percent * F.greatest(n, m) <= 100 * F.least(n, m)) & ((100 + how.percent) * most >= how.percent * (n + m))
 
-    star = lists.filter((F.col("key") != F.col("head.key")) & may_match(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    settled = written(_matching(star.select(F.col("key").alias("late"), F.col("head.key").alias("early")).distinct(), sets, how))
-    open_ = lists.drop("head").join(settled.toDF("key"), "key", "left_anti")
+    settled = None
+    for turn in range(how.turns):
+        # in turns, each list's members against one drawn member: the later of two that match is settled
+        left = lists if settled is None else lists.join(settled.toDF("key"), "key", "left_anti")
+        drawn = lists.withColumn("d", F.min(F.struct(F.xxhash64("token", "key", F.lit(turn)).alias("h"), "key", "n", "pos", "first")).over(group)).select("token", "key", "d")
+        star = left.join(drawn, ["token", "key"]).filter((F.col("key") != F.col("d.key")) & may_match(F.col("n"), F.col("pos"), F.col("d.n"), F.col("d.pos")))
+        later = F.col("first") > F.col("d.first")
+        pairs = star.select(F.when(later, F.col("key")).otherwise(F.col("d.key")).alias("late"), F.when(later, F.col("d.key")).otherwise(F.col("key")).alias("early")).distinct()
+        found = _matching(pairs, sets, how)
+        settled = written(found if settled is None else settled.unionByName(found).distinct())
+    open_ = lists.join(settled.toDF("key"), "key", "left_anti")
     x = open_.select("token", *(F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "first")))
     y = lists.select("token", *(F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "first")))
     rest = x.join(y, "token").filter((F.col("b_first") < F.col("a_first")) & may_match(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))

@@ -40,21 +40,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _piece_hashes(b: np.ndarray, fold: bool) -> np.ndarray:
+def _piece_hashes(b: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(len(b)).bit_length())
     power, inverse = _powers(size)
     space = _SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_letters(fold)[b] * power[: len(b)])))
-    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def word_hashes(data: bytes, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of a text's words, in order; A-Z folded. A long text is taken in pieces cut at white space."""
+def placed_words(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Where a text's words start, and their 64-bit hashes; A-Z folded. A long text is taken in pieces cut at white space."""
     b = np.frombuffer(data, dtype=np.uint8)
     if len(b) <= PIECE:
-        return _piece_hashes(b, fold) if len(b) else np.zeros(0, dtype=np.uint64)
+        return _piece_hashes(b, fold) if len(b) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
     out, at = [], 0
     while at < len(b):
         end = at + PIECE
@@ -64,9 +64,23 @@ def word_hashes(data: bytes, fold: bool = True) -> np.ndarray:
                 end = max(at, end - PIECE) + int(gaps[-1]) + 1
                 break
             end += PIECE
-        out.append(_piece_hashes(b[at:end], fold))
+        starts, hashes = _piece_hashes(b[at:end], fold)
+        out.append((starts + at, hashes))
         at = end
-    return np.concatenate(out)
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def word_hashes(data: bytes, fold: bool = True) -> np.ndarray:
+    return placed_words(data, fold)[1]
+
+
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, in order: a polynomial of the words' mixed hashes, mixed."""
+    n, m = len(words), mixed(words + _MIX[2])
+    h = m[: n - k + 1].copy()
+    for j in range(1, k):
+        h = h * _MIX[3] + m[j : n - k + 1 + j]
+    return mixed(h)
 
 
 def distinct(h: np.ndarray) -> np.ndarray:
@@ -85,10 +99,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(n):
             h = mixed(h * _MIX[2] + words[i : i + 1])
         return h
-    h = np.zeros(n - k + 1, dtype=np.uint64)
-    for j in range(k):
-        h = h * _MIX[3] + mixed(words[j : n - k + 1 + j] + _MIX[2 + j % 4])
-    return distinct(mixed(h))
+    return distinct(shingles(words, k))
 
 
 def set_key(s: np.ndarray) -> bytes:
