@@ -13,7 +13,10 @@ compared with all earlier lines of their lists, so few lists are paired off and
 Rarity: sets.Stats says which shingles certainly occur once; they stand first and need no row in the index. The
 rest is ordered by an estimated frequency. Tokens are 44-bit hashes within the join, set keys 128 bits.
 
-Edge cases: lines with fewer than five words (blank ones too) are kept and match nothing; null and empty texts have one
+Lines of one to four words have one shingle, their whole sequence, if Lines.short is set (the query and the
+pipeline's stage set it): equal ones match. Without it they are kept and match nothing.
+
+Edge cases: blank lines are kept and match nothing; null and empty texts have one
 blank line; rows that repeat doc_id and text are one document and get the same result; null doc_ids come last;
 an empty table gives an empty one; other columns are ignored.
 """
@@ -42,6 +45,12 @@ class Lines:
     bitmap_bits: int = 24
     #: How often a member of each index list is drawn before the exact step.
     turns: int = 3
+    #: Lines of fewer words count too; the query and the stage set it.
+    short: bool = False
+
+
+#: What the query and the stage run: every line with a word can match.
+WHOLE = Lines(short=True)
 
 
 @dataclass
@@ -55,19 +64,36 @@ class LineSets:
     keys: list[bytes]
 
 
+def _short_lines(line: np.ndarray, words: np.ndarray, k: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of one to k - 1 words and their only shingle, the whole sequence as in sets.shingle_set."""
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    size = np.diff(np.append(first, len(line)))
+    keep = size < k
+    if wanted is not None:
+        keep &= wanted[line[first]]
+    first, size = first[keep], size[keep]
+    h = size.astype(np.uint64)
+    for i in range(k - 1):
+        more = size > i
+        h[more] = mixed(h[more] * _MIX[2] + words[first[more] + i])
+    return line[first], h
+
+
 def line_sets(data: bytes, how: Lines, wanted: np.ndarray | None = None) -> LineSets:
     """wanted: a flag for each line; the others are left out."""
     starts, words = placed_words(data)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10), starts)
     n, k = len(words), how.words
     empty = LineSets(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), [])
-    if n < k:
-        return empty
-    within = line[: n - k + 1] == line[k - 1 :]
-    if wanted is not None:
-        within &= wanted[line[: n - k + 1]]
-    h = shingles(words, k)
-    packed = distinct((line[: n - k + 1][within].astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (h[within] >> np.uint64(LINE_BITS)))
+    of, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if n >= k:
+        within = line[: n - k + 1] == line[k - 1 :]
+        if wanted is not None:
+            within &= wanted[line[: n - k + 1]]
+        of, h = line[: n - k + 1][within], shingles(words, k)[within]
+    if n and how.short:
+        of, h = (np.concatenate(x) for x in zip((of, h), _short_lines(line, words, k, wanted), strict=True))
+    packed = distinct((of.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (h >> np.uint64(LINE_BITS)))
     if not len(packed):
         return empty
     of = (packed >> np.uint64(64 - LINE_BITS)).astype(np.int64)
@@ -251,13 +277,13 @@ def dedup(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    out = dedup(table(spark, sf_dir, "documents", "doc_id", "text"), WHOLE)
     return out.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("bigint").alias("n_chars_kept"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: texts without the lines that go; a document that keeps nothing goes too, unless it was blank before."""
     named = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
-    out = dedup(named).filter((F.col("n_removed") == 0) | (F.trim(F.translate("kept_text", "\n\t\r", "   ")) != ""))
+    out = dedup(named, WHOLE).filter((F.col("n_removed") == 0) | (F.trim(F.translate("kept_text", "\n\t\r", "   ")) != ""))
     of = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_doc")["text"]), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("_doc")["n_chars"])}
     return out.select(*(of.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
