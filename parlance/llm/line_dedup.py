@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import Shared, bitmap_of, in_bitmap, table, written
 from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, distinct, in_batches, merged_stats, mixed, overlap, placed_words, shingles
 
-LINE_BITS = 20  # lines in a buffer; the other 44 bits of a sort key are the token
+LINE_BITS = 20  # of a line's number in its buffer; the other 44 bits of a sort key are the token
+MOST_LINES = 1 << LINE_BITS  # of a buffer, blank ones too; texts and batches are cut so that no number has more bits
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,8 @@ def _short_lines(line: np.ndarray, words: np.ndarray, k: int, wanted: np.ndarray
 
 def line_sets(data: bytes, how: Lines, wanted: np.ndarray | None = None) -> LineSets:
     """wanted: a flag for each line; the others are left out."""
+    if data.count(b"\n") >= MOST_LINES:
+        raise ValueError(f"a buffer of more than {MOST_LINES} lines")
     starts, words = placed_words(data)
     line = np.searchsorted(np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10), starts)
     n, k = len(words), how.words
@@ -105,27 +108,35 @@ def line_sets(data: bytes, how: Lines, wanted: np.ndarray | None = None) -> Line
     return LineSets(of[start], start, np.diff(np.append(start, len(of))), tokens, keys)
 
 
+def _cut(data: bytes) -> int:
+    """Where a text that is too long for a buffer, or has too many lines, is cut: a newline; -1: it needs no cut or has no newline to cut at."""
+    if len(data) <= 8 * PIECE and data.count(b"\n") < MOST_LINES:
+        return -1
+    ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8, count=min(len(data), 4 * PIECE)) == 10)
+    return int(ends[min(len(ends), MOST_LINES) - 1]) if len(ends) else data.find(b"\n", 4 * PIECE)
+
+
 def _buffers(ids: list, texts: list[str | None], hashes: list[int]) -> Iterator[tuple[bytes, np.ndarray, list[tuple]]]:
-    """Texts of a batch in buffers of about PIECE bytes: the bytes, the first line of each document, and (doc_id, hash, bytes, first line no)."""
+    """Texts of a batch in buffers of about PIECE bytes and at most MOST_LINES lines: the bytes, the first line of each document, and (doc_id, hash, bytes, first line no)."""
     held: list[bytes] = []
     info: list[tuple] = []
-    size = 0
+    size = lines = 0
     for doc_id, text, h in zip(ids, texts, hashes, strict=True):
         data, base = (text or "").encode(), 0
-        while len(data) > 8 * PIECE:  # a very long text: pieces cut at a newline
-            cut = data.rfind(b"\n", 0, 4 * PIECE)
-            cut = data.find(b"\n", 4 * PIECE) if cut < 0 else cut
-            if cut < 0:
-                break
+        while (cut := _cut(data)) >= 0:  # a very long text: pieces cut at a newline
             piece, data = data[:cut], data[cut + 1 :]
             yield piece, np.zeros(1, np.int64), [(doc_id, h, base)]
             base += piece.count(b"\n") + 1
+        own = data.count(b"\n") + 1
+        if lines + own > MOST_LINES:
+            yield _joined(held, info)
+            held, info, size, lines = [], [], 0, 0
         held.append(data)
         info.append((doc_id, h, base))
-        size += len(data) + 1
+        size, lines = size + len(data) + 1, lines + own
         if size >= PIECE:
             yield _joined(held, info)
-            held, info, size = [], [], 0
+            held, info, size, lines = [], [], 0, 0
     if held:
         yield _joined(held, info)
 
