@@ -1,12 +1,13 @@
 """Operator 5, license scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance.
 
-A file's header is its lines that speak of a licence; a licence file is one that consists of little else. Both are
-bags of words, weighted by TF-IDF over the templates, and compared with every template by cosine: a join of the
-file's distinct terms with the templates' weights (a fixed, small table), summed by file and template. A
+A file's whole text is compared with every template, among them full licence texts: one that is near enough is a
+licence file. Else its header, the lines that speak of a licence, is compared, line by line and as one. Both are bags
+of words, weighted by TF-IDF over the templates and compared by cosine: a fixed, small matrix of the templates'
+weights goes to each task. A
 file without a match of its own takes the licence of the nearest directory above it that has a licence file: its
 ancestors' paths are joined to the directories that have one, and the longest path wins.
 
-Scale: only licence lines are turned into terms, most files have none; the text isn't shuffled. Licence
+Scale: each text is turned into terms once, and isn't shuffled. Licence
 directories are aggregated before the join; the ancestors of a file are as many as its path is deep.
 
 Edge cases: null and empty texts have no header; equal scores go to the first template name; several licence files in a
@@ -21,30 +22,58 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words, written
-
-#: Short texts of well-known licences as they stand in headers; a caller passes full templates of their own.
-TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    "BSD-3-Clause": ("Released under the BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License."),
-    "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+from .common import table, written
+
+#: Licences by SPDX id: how else they are named, and sentences of their notices. Full texts are in licenses/<id>.txt.
+NAMES = {
+    "Apache-2.0": (("Apache License, Version 2.0", "Apache License 2.0"), ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",)),
+    "AGPL-3.0": (("GNU Affero General Public License, version 3", "AGPLv3"), ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",)),
+    "BSD-2-Clause": (("BSD 2-Clause License", "Simplified BSD License"), ()),
+    "BSD-3-Clause": (("BSD License", "BSD 3-Clause License", "BSD-style license"), ("Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",)),
+    "BSL-1.0": (("Boost Software License, Version 1.0",), ()),
+    "CC0-1.0": (("CC0 1.0", "CC0 1.0 Universal"), ("Creative Commons CC0 1.0 Universal Public Domain Dedication",)),
+    **{
+        f"CC-{x}-4.0": ((f"CC {x} 4.0", f"Creative Commons {name} 4.0 International License"), (f"Creative Commons {name} 4.0 International License.",))
+        for x, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+    },
+    **{
+        f"{short}-{v}": ((f"GNU {name} Public License, version {v.removesuffix('.0')}", f"{short}v{v.removesuffix('.0')}"), (f"under the terms of the GNU {name} Public License as published by the Free Software Foundation, either version {v.removesuffix('.0')} of the License, or any later version",))
+        for short, name, v in (("GPL", "General", "2.0"), ("GPL", "General", "3.0"), ("LGPL", "Lesser General", "2.1"), ("LGPL", "Lesser General", "3.0"))
+    },
+    "ISC": (("ISC License",), ()),
+    "MIT": (("MIT License",), ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License.",)),
+    "MPL-2.0": (("Mozilla Public License, version 2.0",), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",)),
+    "Unlicense": (("Unlicense",), ("This is free and unencumbered software released into the public domain.",)),
+    "Zlib": (("zlib License",), ()),
 }
-_SPEAKS = r"(?i)licen[cs]e|licenci|copyright|spdx-|creative commons|redistribut"
+
+
+def default_templates() -> dict[str, tuple[str, ...]]:
+    """Of each licence: its full text where there is one, statements of its names, SPDX lines and sentences of notices."""
+    out = {}
+    for spdx, (names, notices) in NAMES.items():
+        full = Path(__file__).parent / "licenses" / f"{spdx}.txt"
+        ids = [spdx, *([f"{spdx}-only", f"{spdx}-or-later"] if "GPL" in spdx else [])]
+        said = [f"{verb} under the {n}" for n in names for verb in ("Licensed", "Released", "This work is licensed")]
+        out[spdx] = (*([full.read_text()] if full.exists() else []), *said, *(f"SPDX-License-Identifier: {i}" for i in ids), *notices)
+    return out
+
+
+_SPEAKS = r"(?i)licen[cs]e|licenci|copyright|spdx-|creative commons|redistribut|hereby granted|public domain"
 
 
 @dataclass(frozen=True)
 class Scan:
     least_cosine: float = 0.4
-    #: A licence file has at most so many words outside its licence lines.
-    most_other_words: int = 20
+    #: The whole text of a licence file is so near to a template.
+    least_whole_cosine: float = 0.75
 
 
 def terms(text: str) -> list[str]:
@@ -63,38 +92,58 @@ def weights(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, str, int,
     return out
 
 
+class Model:
+    """The templates' weights as a matrix, terms by templates."""
+
+    def __init__(self, weight: list[tuple[str, str, int, float, float]]) -> None:
+        self.row = {w: i for i, w in enumerate(dict.fromkeys(x[0] for x in weight))}
+        column = {t: i for i, t in enumerate(sorted({x[1:3] for x in weight}))}
+        self.names = [name for name, _ in column]
+        self.idf, self.of = np.zeros(len(self.row)), np.zeros((len(self.row), len(column)))
+        for w, name, k, v, idf in weight:
+            self.idf[self.row[w]], self.of[self.row[w], column[name, k]] = idf, v
+        self.unknown = math.log(1 + len(column)) + 1  # a word that no template has
+
+    def best(self, text: str) -> tuple[str, float]:
+        """The nearest template's name, the first of equally near ones, and the cosine."""
+        bag = Counter(terms(text))
+        known = sorted((i, c) for w, c in bag.items() if (i := self.row.get(w)) is not None)
+        if not known:
+            return "", 0.0
+        at = np.array([i for i, _ in known])
+        x = np.array([c for _, c in known]) * self.idf[at]
+        norm = math.sqrt(float(x @ x) + self.unknown**2 * sum(c * c for w, c in bag.items() if w not in self.row))
+        score = np.round(x @ self.of[at] / norm, 9)
+        k = int(np.argmax(score))
+        return self.names[k], float(score[k])
+
+
 def header(text: Column) -> Column:
     """The lines that speak of a licence."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.rlike(x, F.lit(_SPEAKS)))
 
 
 def matches(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, scan: Scan = Scan()) -> DataFrame:
-    """(file, path, own, score, is_license_file) for files whose header matches a template; `files`: file, path, text."""
-    spark = files.sparkSession
-    weight = weights(TEMPLATES if templates is None else templates)
-    idf = {w: i for w, _, _, _, i in weight}
-    unknown = math.log(1 + len({x[1:3] for x in weight})) + 1  # a word that no template has
+    """(file, path, own, score, is_license_file) for files that match a template as a whole or by their header; `files`: file, path, text."""
+    weight = weights(default_templates() if templates is None else templates)
 
-    def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(weight)
         for batch in batches:
             rows = []
-            for file, path, rest, head in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                # each line by itself: a licence that is named among others still matches
-                for i, line in enumerate(dict.fromkeys(head)):
-                    bag = Counter(terms(line))
-                    norm = math.sqrt(sum((c * idf.get(w, unknown)) ** 2 for w, c in bag.items())) or 1.0
-                    rows += [(file, path, rest, i, w, c * idf[w] / norm) for w, c in bag.items() if w in idf]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "path", "rest", "i", "term", "x"])
-
-    head = header(F.col("text"))
-    spoken = files.filter(F.rlike(F.coalesce("text", F.lit("")), F.lit(_SPEAKS))).select("file", "path", "text", head.alias("head"))
-    others = F.size(words(F.col("text"))) - F.size(words(F.array_join("head", "\n")))
-    sparse = spoken.select("file", "path", others.cast("bigint").alias("rest"), "head").mapInArrow(vector, "file string, path string, rest bigint, i int, term string, x double")
-    model = spark.createDataFrame([(w, n, i, v) for w, n, i, v, _ in weight], "term string, template string, k int, y double")
-    cosine = sparse.join(F.broadcast(model), "term").groupBy("file", "path", "rest", "i", "template", "k").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
-    best = cosine.filter(F.round("score", 9) >= scan.least_cosine).groupBy("file", "path", "rest").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "template")).alias("b"))
-    return best.select("file", "path", F.col("b.template").alias("own"), (-F.col("b.s")).alias("score"), (F.col("rest") <= scan.most_other_words).alias("is_license_file"))
+            for file, path, text, head in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                own, score = model.best(text)
+                if not (whole := score >= scan.least_whole_cosine):
+                    # each line by itself, too: a licence that is named among others still matches
+                    found = [model.best(x) for x in dict.fromkeys([*head, "\n".join(head)])]
+                    own, score = min(found, key=lambda x: (-x[1], x[0]), default=("", 0.0))
+                if whole or score >= scan.least_cosine:
+                    rows.append((file, path, own, score, whole))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "path", "own", "score", "is_license_file"])
+
+    texts = files.filter(F.col("text") != "").select("file", "path", "text", header(F.col("text")).alias("head"))
+    return texts.mapInArrow(compare, "file string, path string, own string, score double, is_license_file boolean")
 
 
 def directory(path: Column) -> Column:
