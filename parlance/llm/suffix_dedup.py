@@ -11,8 +11,9 @@ In a shard the contexts stand one behind the other, and their suffixes are sorte
 `length` bytes. Suffixes are of type S or L; the leftmost S suffixes are sorted recursively by names, and
 from them all L, then all S suffixes are induced: bucket by bucket, a queue for each first byte hands over
 positions in order, and each puts the position before it at the end of its own byte's queue. Queues hold tuples of
-position and preceding byte in blocks; beyond `memory` bytes the blocks go to an unnamed scratch file, so a shard may
-be larger than memory. Neighbours in the sorted order whose common prefix reaches `length` bytes repeat.
+position and preceding byte in blocks; beyond `memory` bytes the blocks go to an unnamed scratch file. The shard itself
+and its order stay in memory as arrays, so shards are kept small: one ends at the first new anchor behind
+`shard_bytes`, and with the defaults the file isn't reached. Neighbours in the sorted order whose common prefix reaches `length` bytes repeat.
 
 Anchors with more than `hot` different contexts are dealt by the windows' own 128-bit hashes instead: that splits any
 group, so no shard holds an unbounded one.
