@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 #: White space as the contracts name it: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,15 +38,41 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+#: Shuffle files of an execution go when it ends, not when the driver happens to collect garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows written as a table in the shared folder, read back from there.
 
-    A lost executor then costs no more than the tasks that ran on it. The table goes when the driver ends."""
+    A lost executor then costs no more than the tasks that ran on it. discard() removes the table; what is left goes
+    when the driver ends. The shuffle files behind the rows go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parlance-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    with _cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Removes tables that written() made, once nothing reads them any more."""
+    for frame in frames:
+        path = getattr(frame, "written_at", None) if frame is not None else None
+        if path in _made:
+            _remove(_made.pop(path), path)
 
 
 class Shared:
@@ -86,13 +114,17 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_written() -> None:
-    """Removes the tables that written() made; call it when no frame over them is needed any more."""
+    """Removes all tables that written() made and discard() has not."""
     while _made:
-        spark, path = _made.pop()
+        path, spark = _made.popitem()
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session may have ended
             return
 

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 _ODD = 0x9E3779B97F4A7C15
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PIECE = 1 << 20
+#: Longer words are hashed by blake2b: a polynomial modulo 2**64 has known collisions among long strings (from 1,024 letters on).
+LONG_WORD = 64
+_FOLDED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 @functools.lru_cache(maxsize=2)
@@ -47,7 +51,11 @@ def _piece_hashes(b: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_letters(fold)[b] * power[: len(b)])))
-    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = b[starts[i] : ends[i]].tobytes()
+        hashes[i] = int.from_bytes(hashlib.blake2b(word.translate(_FOLDED) if fold else word, digest_size=8).digest(), "little")
+    return starts, hashes
 
 
 def placed_words(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +232,42 @@ def merged_stats(parts: DataFrame) -> tuple[bytes, bytes]:
     return bytes(cells), bytes(shared)
 
 
+# --- prefixes by the partner's size --------------------------------------------------------------------------
+
+
+def shared_least(n: Column, m: Column, percent: int) -> Column:
+    """The least overlap of two sets of n and m whose Jaccard similarity is `percent` or more."""
+    return F.floor((percent * (n + m) + 99 + percent) / F.lit(100 + percent))
+
+
+def reach(n: Column, pos: Column, level: Column, percent: int) -> Column:
+    """The largest partner for which a set of n looks at its token number `pos` (from 0) at that level: larger
+    partners must share more, so their prefix is shorter."""
+    return F.floor((n - pos + level - 1) * (100 + percent) / F.lit(percent)) - n
+
+
+def usable(n: Column, i: Column, most_n: Column, m: Column, j: Column, most_m: Column, percent: int) -> Column:
+    """Whether a token at i of n and j of m counts for the pair: in both prefixes of the pair's own level and sizes."""
+    level = F.least(most_n, most_m)
+    both = shared_least(n, m, percent)
+    return (percent * F.greatest(n, m) <= 100 * F.least(n, m)) & (i < n - both + level) & (j < m - both + level)
+
+
+_NARROW, _STEP = 128, 1.008  # sizes up to _NARROW have a bucket of their own, beyond it each is wider by _STEP
+
+
+def bucket(n: Column) -> Column:
+    return F.when(n <= _NARROW, n).otherwise(_NARROW + F.floor(F.log(n / F.lit(_NARROW)) / F.lit(math.log(_STEP)))).cast("int")
+
+
+def met(size_buckets: Column, n: Column, pos: Column, level: Column, percent: int) -> Column:
+    """Of the size buckets that a list holds, those whose sizes may be partners of its member (n, pos, level)."""
+    least, most = F.ceil(percent * n / F.lit(100)), F.least(F.floor(100 * n / F.lit(percent)), reach(n, pos, level, percent))
+    low = lambda c: F.when(c <= _NARROW, c.cast("double")).otherwise(_NARROW * F.pow(F.lit(_STEP), c - _NARROW) - 1)
+    high = lambda c: F.when(c < _NARROW, c.cast("double")).otherwise(_NARROW * F.pow(F.lit(_STEP), c - _NARROW + 1) + 1)
+    return F.filter(size_buckets, lambda c: (high(c) >= least) & (low(c) <= most))
+
+
 # --- connected components ------------------------------------------------------------------------------------
 
 
@@ -242,12 +286,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = written(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        old, now = now, written(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.written_at = now.written_at
+    return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from parlance.llm import bpe, chat_format, fingerprints, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup
+from parlance.llm import bpe, chat_format, fingerprints, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules, sets, suffix_dedup
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -209,6 +209,24 @@ def test_jaccard_join(docs, empty, rows):
     assert jaccard_join.class_ids(empty).count() == 0
 
 
+def test_long_words_differ():
+    """Two words of 1,024 letters, the Thue-Morse word and its complement, hash alike under any polynomial modulo 2**64 with an odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    a, b = (sets.word_hashes(x.encode())[0] for x in (word, other))
+    assert a != b and a == sets.word_hashes(word.upper().encode())[0]
+
+
+def test_one_document_of_each_class_stays(spark):
+    rng = random.Random(11)
+    base = _text(rng, 120)
+    near = base.replace(".", " tail.", 1)
+    rows = [(5, base, "a"), (5, near, "b"), (3, near, "x"), (3, near, "x"), (None, base, "c"), (7, None, "d"), (8, "", "e"), (8, "", "e"), (9, _text(rng, 90), "f")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, rowhash string")
+    kept = sorted(map(tuple, jaccard_join.stage(spark, df, "").collect()), key=str)
+    assert kept == sorted([rows[2], rows[5], rows[6], rows[7], rows[8]], key=str)
+
+
 def test_line_dedup(docs, empty, rows):
     named = [r for r in rows if r[0] is not None]
     places = sorted({(r[0], i, x) for r in named for i, x in enumerate((r[1] or "").split("\n"))})
