@@ -6,19 +6,20 @@ length filter and the positional filter (what can still follow the two positions
 whole sets are compared. A line goes if an earlier line of any document matches it: order is (doc_id, text,
 line number), so the first of all matching lines always stays.
 
-Lines of one set are one from the start, however many copies there are. In a few turns, the lines of each index list
-are compared with one drawn member of it; the later of two that match is settled. Only lines that aren't are then
-compared with all earlier lines of their lists, so few lists are paired off and no match is lost.
+Lines of the same words are one from the start, however many copies there are. Each list's earliest member, then for each
+member the hub among the earlier ones of its list, is compared with it: pairs linear in the list; a line that matches an
+earlier one is settled. Only lines that aren't settled then meet all earlier lines of their lists, in buckets of
+partner sizes for which both still look at the list's shingle, so few lists are paired off and no match is lost.
 
 Rarity: sets.Stats says which shingles certainly occur once; they stand first and need no row in the index. The
-rest is ordered by an estimated frequency. Tokens are 44-bit hashes within the join, set keys 128 bits.
+rest is ordered by an estimated frequency. Tokens are 64-bit hashes, line keys 128 bits.
 
 Lines of one to four words have one shingle, their whole sequence, if Lines.short is set (the query and the
 pipeline's stage set it): equal ones match. Without it they are kept and match nothing.
 
 Edge cases: blank lines are kept and match nothing; null and empty texts have one
 blank line; rows that repeat doc_id and text are one document and get the same result; null doc_ids come last;
-an empty table gives an empty one; other columns are ignored.
+an empty table gives an empty one; other columns are kept (one named like an added column gives way to it).
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Shared, bitmap_of, in_bitmap, table, written
-from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, distinct, in_batches, merged_stats, mixed, overlap, placed_words, shingles
+from .common import Shared, bitmap_of, discard, in_bitmap, table, written
+from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, bucket, in_batches, merged_stats, met, mixed, overlap, placed_words, reach, shingles, usable
 
-LINE_BITS = 20  # of a line's number in its buffer; the other 44 bits of a sort key are the token
+LINE_BITS = 20  # of a line's number in its buffer, in sort keys
 MOST_LINES = 1 << LINE_BITS  # of a buffer, blank ones too; texts and batches are cut so that no number has more bits
 
 
@@ -44,8 +47,6 @@ class Lines:
     words: int = 5
     percent: int = 80
     bitmap_bits: int = 24
-    #: How often a member of each index list is drawn before the exact step.
-    turns: int = 3
     #: Lines of fewer words count too; the query and the stage set it.
     short: bool = False
 
@@ -96,15 +97,17 @@ def line_sets(data: bytes, how: Lines, wanted: np.ndarray | None = None) -> Line
         of, h = line[: n - k + 1][within], shingles(words, k)[within]
     if n and how.short:
         of, h = (np.concatenate(x) for x in zip((of, h), _short_lines(line, words, k, wanted), strict=True))
-    packed = distinct((of.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (h >> np.uint64(LINE_BITS)))
-    if not len(packed):
+    if not len(of):
         return empty
-    of = (packed >> np.uint64(64 - LINE_BITS)).astype(np.int64)
+    order = np.argsort((of.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (h >> np.uint64(LINE_BITS)))
+    of, h = of[order], h[order]
     start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    tokens = packed << np.uint64(LINE_BITS)
-    sums = [np.add.reduceat(mixed(tokens ^ _MIX[i]), start) for i in (4, 5)]  # a set's key: sums don't depend on order
+    sums = [np.add.reduceat(mixed(h ^ _MIX[i]), start) for i in (4, 5)]  # a line's key: sums over its shingles, repeats too
     raw = np.column_stack(sums).tobytes()
     keys = [raw[16 * i : 16 * i + 16] for i in range(len(start))]
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])))
+    of, tokens = of[new], h[new]
+    start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     return LineSets(of[start], start, np.diff(np.append(start, len(of))), tokens, keys)
 
 
@@ -154,20 +157,31 @@ def _places(first: np.ndarray, info: list[tuple], lines: np.ndarray) -> tuple[np
     return at, number, mixed(own[at] + number.view(np.uint64) * _MIX[3])
 
 
-def _occurrences(docs: DataFrame, how: Lines) -> DataFrame:
-    """(doc_id, rh, line, place, key) of each line that has a set; place: a hash of the first three."""
+def _occurrences(docs: DataFrame, how: Lines) -> tuple[DataFrame, tuple[bytes, bytes], DataFrame]:
+    """(doc_id, rh, line, place, key) of each line that has a set, place being a hash of the first three; what is known of
+    the tokens; the table behind both. A buffer's copies of a line count once, so copies hardly make tokens frequent."""
+    schema = pa.schema([("doc_id", pa.int64()), ("rh", pa.int64()), ("line", pa.int64()), ("place", pa.int64()), ("key", pa.binary()), *STATS])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats = Stats()
         for batch in batches:
             for data, first, info in _buffers(*(batch.column(i).to_pylist() for i in range(3))):
                 s = line_sets(data, how)
                 if not len(s.line):
                     continue
+                once = np.fromiter(dict(zip(reversed(s.keys), range(len(s.keys) - 1, -1, -1), strict=True)).values(), np.int64)
+                wanted = np.zeros(len(s.line), dtype=bool)
+                wanted[once] = True
+                stats.add(s.tokens[np.repeat(wanted, s.size)])
                 at, number, place = _places(first, info, s.line)
                 ids, hashes = pa.array([x[0] for x in info], pa.int64()), pa.array([x[1] for x in info], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), hashes.take(pa.array(at)), pa.array(number), pa.array(place.view(np.int64)), pa.array(s.keys, pa.binary())], ["doc_id", "rh", "line", "place", "key"])
+                nothing = [pa.nulls(len(at), f.type) for f in STATS]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), hashes.take(pa.array(at)), pa.array(number), pa.array(place.view(np.int64)), pa.array(s.keys, pa.binary()), *nothing], schema=schema)
+        for row in stats.rows():
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    return written(docs.select("doc_id", "text", "rh").mapInArrow(measure, "doc_id bigint, rh bigint, line bigint, place bigint, key binary"))
+    out = written(docs.select("doc_id", "text", "rh").mapInArrow(measure, "doc_id bigint, rh bigint, line bigint, place bigint, key binary, " + STATS_DDL))
+    return out.filter("segment is null").select("doc_id", "rh", "line", "place", "key"), merged_stats(out.filter("segment is not null").select(*STATS.names)), out
 
 
 def _first_lines(batch: pa.RecordBatch, bitmap: np.ndarray, how: Lines) -> Iterator[LineSets]:
@@ -179,20 +193,6 @@ def _first_lines(batch: pa.RecordBatch, bitmap: np.ndarray, how: Lines) -> Itera
             yield s
 
 
-def _stats(docs: DataFrame, firsts: Shared, how: Lines) -> tuple[bytes, bytes]:
-    """What is known of the tokens of distinct lines: copies of a line don't make its tokens frequent."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, bitmap = Stats(), np.frombuffer(firsts.get()[0], dtype=np.uint64)
-        for batch in batches:
-            for s in _first_lines(batch, bitmap, how):
-                stats.add(s.tokens)
-        for row in stats.rows():
-            yield pa.RecordBatch.from_pylist([row], schema=STATS)
-
-    return merged_stats(docs.select("doc_id", "text", "rh").mapInArrow(measure, STATS_DDL))
-
-
 def _index(docs: DataFrame, firsts: Shared, stats: tuple[bytes, bytes], how: Lines) -> DataFrame:
     """(token, key, n, pos), and a row with `members` for each line that has any."""
     shared = Shared(docs.sparkSession, *stats)  # of fixed size
@@ -234,57 +234,106 @@ def _matching(pairs: DataFrame, sets: DataFrame, how: Lines) -> DataFrame:
                 yield (late,)
 
     both = pairs.join(sets.toDF("late", "sl"), "late").join(sets.toDF("early", "se"), "early").select("late", "sl", "se")
-    return both.mapInArrow(in_batches(rows, ["late"], [pa.binary()]), "late binary").distinct()
+    return written(both.mapInArrow(in_batches(rows, ["late"], [pa.binary()]), "late binary").distinct())
+
+
+def _lists(index: DataFrame, firsts: DataFrame, how: Lines) -> DataFrame:
+    """The index without rows that can meet nothing, with each line's first place and `deg`: how much its lists hold.
+    Lists are counted by partial aggregates and joined back, so that no task must hold a long one."""
+    known = index.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.min("key").alias("k1"), F.max("key").alias("k2")).filter("k1 <> k2").drop("k1", "k2")
+    rows = written(index.join(known, "token").filter(reach(F.col("n"), F.col("pos"), F.lit(1), how.percent) >= F.col("least")).select("token", "key", "n", "pos", "size"))
+    named = rows.groupBy("key").agg(F.sum("size").alias("deg")).join(firsts.select("key", "first"), "key")
+    out = written(rows.drop("size").join(named, "key"))
+    discard(rows)
+    return out
+
+
+def _with_earliest(lists: DataFrame) -> DataFrame:
+    return lists.join(lists.groupBy("token").agg(F.min(F.struct("first", "key", "n")).alias("p")), "token")
+
+
+def _with_hub(lists: DataFrame) -> DataFrame:
+    """Each member with the earlier one of its list that has the largest degree. The running maximum is taken within
+    ranges of doc_id and over the ranges, so a long list is spread."""
+    cuts = lists.agg(F.percentile_approx("first.doc_id", [i / 64 for i in range(1, 64)], 1000)).first()[0] or []  # 63 numbers
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("first.doc_id"))), F.lit(64)) if cuts else F.lit(0)
+    dealt = lists.withColumn("part", F.when(F.col("first.doc_id").isNull(), 64).otherwise(part))
+    own = F.struct("deg", "key", "n", "first")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("p", F.max(own).over(before("token", "part").orderBy("first")))
+    heads = dealt.groupBy("token", "part").agg(F.max(own).alias("h")).withColumn("q", F.max("h").over(before("token").orderBy("part"))).drop("h")
+    return inside.join(heads, ["token", "part"]).withColumn("p", F.greatest("p", "q")).drop("q", "part").filter("p is not null")
 
 
 def removed_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """(doc_id, rh, lines): for each document that loses any, the numbers of its lines that go. `docs`: doc_id, text, rh."""
-    lines = _occurrences(docs, how)
+    lines, stats, _ = _occurrences(docs, how)
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rh", "line", "place")
     firsts = written(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
     bitmap = Shared(docs.sparkSession, bitmap_of(firsts.select(F.col("first.place").alias("key")), how.bitmap_bits).tobytes())  # 2**bitmap_bits bits
-    made = _index(docs, bitmap, _stats(docs, bitmap, how), how)
+    made = _index(docs, bitmap, stats, how)
     bitmap.close()
-    sets = written(made.filter("members is not null").select("key", "members").dropDuplicates(["key"]))
-    index = made.filter("members is null").drop("members").dropDuplicates(["token", "key"])
-    group = Window.partitionBy("token")
-    lists = index.withColumn("size", F.count("*").over(group)).filter("size > 1").drop("size").join(firsts.select("key", "first"), "key")
-    lists = written(lists)
-
-    def may_match(n, i, m, j):  # noqa: ANN001, ANN202
-        """Length and positional filters for sets of n and m whose tokens agree at positions i and j."""
-        most = 1 + F.least(n - i - 1, m - j - 1) + F.least(i, j)
-        return (how.percent * F.greatest(n, m) <= 100 * F.least(n, m)) & ((100 + how.percent) * most >= how.percent * (n + m))
-
-    settled = None
-    for turn in range(how.turns):
-        # in turns, each list's members against one drawn member: the later of two that match is settled
-        left = lists if settled is None else lists.join(settled.toDF("key"), "key", "left_anti")
-        drawn = lists.withColumn("d", F.min(F.struct(F.xxhash64("token", "key", F.lit(turn)).alias("h"), "key", "n", "pos", "first")).over(group)).select("token", "key", "d")
-        star = left.join(drawn, ["token", "key"]).filter((F.col("key") != F.col("d.key")) & may_match(F.col("n"), F.col("pos"), F.col("d.n"), F.col("d.pos")))
-        later = F.col("first") > F.col("d.first")
-        pairs = star.select(F.when(later, F.col("key")).otherwise(F.col("d.key")).alias("late"), F.when(later, F.col("d.key")).otherwise(F.col("key")).alias("early")).distinct()
-        found = _matching(pairs, sets, how)
-        settled = written(found if settled is None else settled.unionByName(found).distinct())
-    open_ = lists.join(settled.toDF("key"), "key", "left_anti")
-    x = open_.select("token", *(F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "first")))
-    y = lists.select("token", *(F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "first")))
-    rest = x.join(y, "token").filter((F.col("b_first") < F.col("a_first")) & may_match(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))
-    more = _matching(rest.select(F.col("a_key").alias("late"), F.col("b_key").alias("early")).distinct(), sets, how)
+    lists = _lists(made.filter("members is null").drop("members"), firsts, how)
+    sets = written(made.filter("members is not null").select("key", "members").join(lists.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    discard(made)
+    settled, left = None, lists
+    for add in (_with_earliest, _with_hub):
+        fits = how.percent * F.greatest("n", "p.n") <= 100 * F.least("n", "p.n")
+        pairs = add(lists).filter((F.col("p.first") < F.col("first")) & fits).select(F.col("key").alias("late"), F.col("p.key").alias("early")).distinct()
+        if settled is not None:
+            pairs = pairs.join(settled, "late", "left_anti")
+        found, old = _matching(pairs, sets, how), settled
+        settled = found if old is None else written(old.unionByName(found))
+        if old is not None:
+            discard(old, found)
+    left = lists.join(settled.toDF("key"), "key", "left_anti")
+    more = _matching(_earlier(left, lists, how), sets, how)
     gone = settled.unionByName(more).distinct().select(F.col("late").alias("key"), F.lit(True).alias("gone"))
-    known = firsts.join(gone, "key", "left").filter("copies > 1 or gone")
-    out = lines.join(known, "key").filter(F.col("gone") | (place != F.col("first")))
+    known = written(firsts.join(gone, "key", "left").filter("copies > 1 or gone").withColumn("rest", F.struct(*(F.col("first")[c].alias(c) for c in ("doc_id", "rh", "line")))).select("key", "gone", "rest"))
+    discard(firsts, lists, sets, settled, more)
+    own = F.struct("doc_id", "rh", "line")
+    out = lines.join(known, "key").filter(F.col("gone") | ~own.eqNullSafe(F.col("rest")))
     return out.groupBy("doc_id", "rh").agg(F.collect_set("line").alias("lines"))  # a document's own lines
 
 
+def _earlier(left: DataFrame, lists: DataFrame, how: Lines) -> DataFrame:
+    """(late, early): lines that aren't settled with all earlier ones of their lists that may match them."""
+    sizes = left.groupBy("token").agg(F.collect_set(bucket(F.col("n"))).alias("sizes"))  # at most some thousands, whatever the list
+
+    def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+        of = F.explode(met(F.col("sizes"), F.col("n"), F.col("pos"), F.lit(1), how.percent))
+        return rows.drop("deg").join(sizes, "token").withColumns({"own": bucket(F.col("n")), "of": of}).drop("sizes")
+
+    all_sizes = lists.join(sizes.select("token"), "token", "left_semi").groupBy("token").agg(F.collect_set(bucket(F.col("n"))).alias("sizes"))
+    x = dealt(left, all_sizes).select("token", F.col("own").alias("p"), F.col("of").alias("q"), *(F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "first")))
+    y = dealt(lists, sizes).select("token", F.col("of").alias("p"), F.col("own").alias("q"), *(F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "first")))
+    one = F.lit(1)
+    may: Column = usable(F.col("a_n"), F.col("a_pos"), one, F.col("b_n"), F.col("b_pos"), one, how.percent)
+    return x.join(y, ["token", "p", "q"]).filter((F.col("b_first") < F.col("a_first")) & may).select(F.col("a_key").alias("late"), F.col("b_key").alias("early")).distinct()
+
+
 def dedup(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """The input's columns with `kept_text`, `n_lines` and `n_removed`."""
-    keyed = docs.withColumn("rh", F.xxhash64("text"))
-    gone = removed_lines(keyed.select("doc_id", "text", "rh"), how).select(F.col("doc_id").alias("_id"), F.col("rh").alias("_rh"), F.sort_array("lines").alias("_gone"))
-    both = keyed.join(gone, (F.col("rh") == F.col("_rh")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_rh", "rh")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("bigint"))), "\n"))
-    return both.withColumns({"kept_text": kept, "n_lines": F.size(lines).cast("bigint"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")}).drop("_gone")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("rh"))
+    gone = removed_lines(keyed, how).select(F.col("rh").alias("_h"), F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_x"), F.col("lines").alias("_gone"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.xxhash64("text").alias("_h"), F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_x"))
+    both = rows.join(gone.hint("shuffle_hash"), ["_h", "_i", "_x"], "left").select("_doc", "_gone")
+    added = {"kept_text": pa.string(), "n_lines": pa.int64(), "n_removed": pa.int64()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(pc.struct_field(batch.column(0), "text"), "")
+            kept, removed = texts.to_pylist() if batch.column(1).null_count < len(batch) else None, [0] * len(batch)
+            for i in np.flatnonzero(pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)).tolist() if kept is not None else ():
+                drop = set(batch.column(1)[i].as_py())
+                removed[i] = len(drop)
+                kept[i] = "\n".join([x for j, x in enumerate(kept[i].split("\n")) if j not in drop])
+            n_lines = pc.add(pc.cast(pc.count_substring(texts, "\n"), pa.int64()), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts if kept is None else pa.array(kept, pa.string()), n_lines, pa.array(removed, pa.int64())], ["_doc", *added])
+
+    schema = T.StructType([both.schema["_doc"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    out = both.mapInArrow(cut, schema)
+    return out.select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +343,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: texts without the lines that go; a document that keeps nothing goes too, unless it was blank before."""
-    named = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
+    named = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
     out = dedup(named, WHOLE).filter((F.col("n_removed") == 0) | (F.trim(F.translate("kept_text", "\n\t\r", "   ")) != ""))
-    of = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_doc")["text"]), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("_doc")["n_chars"])}
-    return out.select(*(of.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
+    of = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_row")["text"]), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("_row")["n_chars"])}
+    return out.select(*(of.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
