@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -123,76 +124,68 @@ def _bit(key: bytes, how: Chunking) -> int:
     return int.from_bytes(key[:8], "little") >> (64 - how.bitmap_bits)
 
 
-def _safe_before(data: bytes, at: int, floor: int) -> int:
-    """The last safe point in (floor, at - 1), or -1."""
-    p = at
-    while (p := data.rfind(b" ", floor + 1, p)) != -1:
-        if p + 2 < at and data[p - 1] > 0x20 and data[p + 1] > 0x20 and data[p - 1] < 0x80 and data[p + 1] < 0x80:
-            return p
-    return -1
+#: White space beyond ASCII (fixed values), and full-width punctuation behind which no letter run goes on.
+_WIDE_SPACES = frozenset("\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_SAFE = re.compile("(?<=[^\\x00-\\x20" + "".join(sorted(_WIDE_SPACES)) + "]) (?=[^\\x00-\\x20])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])[\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a]")
 
 
-def _safe_after(data: bytes, at: int, ceiling: int) -> int:
-    p = at
-    while (p := data.find(b" ", p + 1, ceiling - 1)) != -1:
-        if data[p - 1] > 0x20 and data[p + 1] > 0x20 and data[p - 1] < 0x80 and data[p + 1] < 0x80:
-            return p
-    return -1
+def _safe_points(text: str) -> list[int]:
+    """Where the pre-tokenizer always cuts, in any script: before a single space that follows no white space, and between
+    a Han or kana letter and full-width punctuation. Code points."""
+    return [m.start() for m in _SAFE.finditer(text)]
 
 
-def assemble(path: str, data: bytes, ends: list[int], known: dict[int, np.ndarray]) -> np.ndarray:
-    """The ids of a text from those of its chunks, joins repaired. `known`: ids of some chunks, by number.
-
-    Runs of chunks whose ids aren't known are encoded in one go. Safe points border on ASCII only, so what counts
-    as white space there is beyond doubt."""
+@functools.lru_cache(maxsize=2)
+def _lengths(path: str) -> np.ndarray:
+    """Bytes of each token."""
     enc = codec(path)
-    parts: list[tuple[int, int, np.ndarray]] = []
-    i, start = 0, 0
-    while i < len(ends):
-        if i in known:
-            parts.append((start, ends[i], known[i]))
-            start, i = ends[i], i + 1
+    out = np.zeros(enc.n_vocab, dtype=np.int64)
+    for i in range(enc.n_vocab):
+        try:
+            out[i] = len(enc.decode_single_token_bytes(i))
+        except KeyError:
             continue
-        j = i
-        while j + 1 < len(ends) and j + 1 not in known:
-            j += 1
-        parts.append((start, ends[j], np.array(enc.encode(data[start : ends[j]].decode(), allowed_special="all"), dtype=np.int64)))
-        start, i = ends[j], j + 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = _joined(enc, data, out, part)
-    return out[2]
-
-
-def _token_at(enc, ids: np.ndarray, offset: int, back: bool) -> int:  # noqa: ANN001
-    """The number of the token that starts at a byte offset of the ids' text, or -1. back: the offset counts from the end."""
-    seen, order = 0, range(len(ids) - 1, -1, -1) if back else range(len(ids))
-    for i in order:
-        if seen >= offset:
-            break
-        seen += len(enc.decode_single_token_bytes(int(ids[i])))
+    return out
+
+
+def _agreed(path: str, chunk: bytes, ids: np.ndarray, whole_left: bool, whole_right: bool) -> tuple[int, int, np.ndarray] | None:
+    """The part of a chunk, in bytes, between its first and its last safe point at which its ids have a token end: there
+    they agree with those of the whole text. None: it has no two of these."""
+    text = chunk.decode()
+    points = _safe_points(text)
+    if len(chunk) == len(text):
+        at = np.array([*([0] if whole_left else []), *points, *([len(chunk)] if whole_right else [])], dtype=np.int64)
     else:
-        return (0 if back else len(ids)) if seen == offset else -1
-    return (i + 1 if back else i) if seen == offset else -1
-
-
-def _joined(enc, data: bytes, a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> tuple[int, int, np.ndarray]:  # noqa: ANN001
-    left, right = a[1], a[1]
-    x = y = -1
-    while x == -1:  # outward until a safe point is a token end of the ids so far
-        left = _safe_before(data, left, a[0])
-        if left == -1:
-            left, x = a[0], 0
-        else:
-            x = _token_at(enc, a[2], a[1] - left, True)
-    while y == -1:
-        right = _safe_after(data, right, b[1])
-        if right == -1:
-            right, y = b[1], len(b[2])
-        else:
-            y = _token_at(enc, b[2], right - b[0], False)
-    middle = np.array(enc.encode(data[left:right].decode(), allowed_special="all"), dtype=np.int64)
-    return a[0], b[1], np.concatenate([a[2][:x], middle, b[2][y:]])
+        width = np.cumsum([0, *(len(c.encode()) for c in text)])
+        at = width[[*([0] if whole_left else []), *points, *([len(text)] if whole_right else [])]]
+    ends = np.concatenate(([0], np.cumsum(_lengths(path)[ids])))
+    where = np.searchsorted(ends, at)
+    good = np.flatnonzero(ends[np.minimum(where, len(ends) - 1)] == at)
+    if len(good) < 2:
+        return None
+    x, y = good[0], good[-1]
+    return int(at[x]), int(at[y]), ids[where[x] : where[y]]
+
+
+def assemble(path: str, data: bytes, ends: list[int], known: dict[int, np.ndarray]) -> np.ndarray:
+    """The ids of a text from those of its chunks, joins repaired. `known`: ids of some chunks, by number.
+
+    Around each join the text is encoded anew, outward until a point on either side where the known ids agree with the
+    whole text's; neighbouring unknown chunks go along in the same run. Each byte is encoded once here at most."""
+    enc, out = codec(path), []
+    run = start = 0
+    for i, end in enumerate(ends):
+        found = _agreed(path, data[start:end], known[i], start == 0, end == len(data)) if i in known else None
+        if found is not None:
+            x, y, ids = found
+            if start + x > run:
+                out.append(np.array(enc.encode(data[run : start + x].decode(), allowed_special="all"), dtype=np.int64))
+            out.append(ids)
+            run = start + y
+        start = end
+    if run < len(data):
+        out.append(np.array(enc.encode(data[run:].decode(), allowed_special="all"), dtype=np.int64))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def _pack(ids: np.ndarray) -> bytes:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -119,6 +120,21 @@ def test_bpe_joins_are_repaired():
         assert bpe.assemble(bpe.default_path(), data, ends, known).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_joins_take_linear_time():
+    t, rng = bpe.codec(bpe.default_path()), random.Random(6)
+    for letters, gap in (("абвгдежзиклмнопрст", " "), ("的一是不了人我在有他这中大来上国", "，")):
+        text = gap.join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(40_000))
+        data = text.encode()
+        ends = bpe.cuts(data, bpe.Chunking())
+        starts = [0, *ends]
+        known = {i: np.array(bpe.encode(bpe.default_path(), data[starts[i] : ends[i]].decode())) for i in range(len(ends))}
+        began = time.process_time()
+        whole = t.encode(text)
+        once = time.process_time() - began
+        assert bpe.assemble(bpe.default_path(), data, ends, known).tolist() == whole
+        assert time.process_time() - began - once < 3 * once + 1
+
+
 def test_classifier_learns(spark, empty):
     rng = random.Random(2)
     made = [(i, _text(rng, 60) if i % 4 else " ".join(w + "%%%" for w in words(_text(rng, 60)))) for i in range(400)]
