@@ -13,7 +13,7 @@ from them all L, then all S suffixes are induced: bucket by bucket, a queue for
 positions in order, and each puts the position before it at the end of its own byte's queue. Queues hold tuples of
 position and preceding byte in blocks; beyond `memory` bytes the blocks go to an unnamed scratch file. The shard itself
 and its order stay in memory as arrays, so shards are kept small: one ends at the first new anchor behind
-`shard_bytes`, and with the defaults the file isn't reached. Neighbours in the sorted order whose common prefix reaches `length` bytes repeat.
+`shard_bytes`, and with the defaults the file isn't reached: this is no external sort, see README. Neighbours in the sorted order whose common prefix reaches `length` bytes repeat.
 
 Anchors with more than `hot` different contexts are dealt by the windows' own 128-bit hashes instead: that splits any
 group, so no shard holds an unbounded one.
@@ -46,8 +46,8 @@ class Spans:
     #: Windows of one context at most; contexts of one anchor in a shard at most.
     most_windows: int = 1024
     hot: int = 2000
-    shard_bytes: int = 4 << 20
-    memory: int = 256 << 20
+    shard_bytes: int = 1 << 20
+    memory: int = 64 << 20
     bitmap_bits: int = 24
 
 
@@ -304,12 +304,17 @@ def _occurrences(docs: DataFrame, how: Spans) -> DataFrame:
 def _open_contexts(docs: DataFrame, cold: np.ndarray, hot: np.ndarray, how: Spans) -> DataFrame:
     """Contexts whose anchor others have too: their bytes, or of a hot anchor a hash of each window."""
     maps = Shared(docs.sparkSession, cold.tobytes(), hot.tobytes())  # 2 * 2**bitmap_bits bits
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["anchor", "same", "bytes", "at", "window"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few, many = (np.frombuffer(x, dtype=np.uint64) for x in maps.get())
         for batch in batches:
             rows: list[tuple] = []
             sent: set[tuple[int, int]] = set()
+            size = 0
             for text in batch.column(1).to_pylist():
                 data = text.encode()
                 c = contexts(np.frombuffer(data, dtype=np.uint8), how)
@@ -327,7 +332,11 @@ def _open_contexts(docs: DataFrame, cold: np.ndarray, hot: np.ndarray, how: Span
                         rows += [(*name, None, j, hashlib.blake2b(data[a + j : a + j + how.length], digest_size=16).digest()) for j in range(n)]
                     else:
                         rows.append((*name, data[a : a + n - 1 + how.length], None, None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["anchor", "same", "bytes", "at", "window"])
+                        size += n + how.length
+                    if len(rows) > 20_000 or size > 4 << 20:  # not a batch's worth at once
+                        yield made(rows)
+                        rows, size = [], 0
+            yield made(rows)
 
     out = written(_texts(docs).mapInArrow(walk, "anchor bigint, same bigint, bytes binary, at int, window binary"))
     maps.close()
