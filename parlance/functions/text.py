@@ -42,6 +42,15 @@ def pieces(text: Column) -> Column:
     return F.flatten(F.transform(cjk, word_pieces))
 
 
+#: Fixed value: the pattern of the plain byte-level pre-tokenizer.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_level_pieces(text: Column) -> Column:
+    """The one split of tokenizer files whose pre-tokenizer is byte-level with its own pattern."""
+    return F.regexp_extract_all(text, F.lit(f"(?U){BYTE_LEVEL}"), F.lit(0))
+
+
 def first_cut(text: Column, stops: list[str]) -> Column:
     """The text up to the first stop sequence; empty ones are ignored."""
     at = [F.when(F.locate(s, text) > 0, F.locate(s, text)) for s in stops if s]

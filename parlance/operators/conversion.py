@@ -13,32 +13,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import jsontext as J
+from ..functions import patch_tool
 from ..functions import tokens as T
+from .decoding import ROLES, SOURCES, BadRequest, base64_url, effort_of, messages_of, need, number, thinking_of, variant, whole
 
 MESSAGE = "struct<role:string,content:string,images:array<string>,reasoning_content:string,calls:array<struct<id:string,name:string,arguments:string>>,tool_call_id:string>"
-CONVERTED = f"protocol string, ok boolean, error_kind string, error string, messages array<{MESSAGE}>, thinking boolean, effort string, tools array<struct<name:string,description:string,parameters:string,strict:boolean>>, tool_choice string, response_format string, max_tokens bigint, temperature float, top_p float, stops array<string>, model string, stream boolean"
+CONVERTED = f"protocol string, ok boolean, error_kind string, error string, messages array<{MESSAGE}>, thinking boolean, effort string, tools array<struct<name:string,description:string,parameters:string,strict:boolean>>, tool_choice string, response_format string, max_tokens bigint, temperature float, top_p float, stops array<string>, model string, stream boolean, include_usage boolean, reasoning_start boolean"
 NAME = re.compile(r"[A-Za-z0-9_-]{1,128}")
 MAX_STOPS, MAX_URL = 16, 8192
 DOCUMENT = "[Unsupported Document]"
 
 
-class BadRequest(ValueError):
-    pass
-
-
-def need(ok: Any, message: str) -> None:
-    if not ok:
-        raise BadRequest(message)
-
-
 def _options(body: dict, limit: str) -> dict:
-    n, tokens, temperature, top_p = (body.get(k) for k in ("n", limit, "temperature", "top_p"))
+    n, tokens = whole(body.get("n"), "n"), whole(body.get(limit), limit)
+    temperature, top_p = (number(body.get(k), k) for k in ("temperature", "top_p"))
     need(n in (None, 1), "n must be 1")
     for k in ("frequency_penalty", "presence_penalty"):
-        need(body.get(k) is None or -2 <= body[k] <= 2, f"{k} must be between -2 and 2")
+        need(number(body.get(k), k) is None or -2 <= body[k] <= 2, f"{k} must be between -2 and 2")
     need(tokens is None or tokens > 0, f"{limit} must be greater than 0")
     need(temperature is None or 0 <= temperature <= 2, "temperature must be between 0 and 2")
     need(top_p is None or 0 < top_p <= 1, "top_p must be greater than 0 and at most 1")
+    whole(body.get("seed"), "seed", 1 << 63)
     return {"max_tokens": tokens, "temperature": temperature, "top_p": top_p}
 
 
@@ -83,15 +78,17 @@ def _content(content: Any, where: str) -> tuple[str, list[str]]:
             source = block.get("image_url") or block.get("source") or block.get("file")
             if isinstance(source, dict):
                 need("file_id" not in source, f"{where}.content[{i}]: file ids are not supported")
+                if "type" in source:
+                    variant(source["type"], SOURCES, f"{where}.content[{i}]")
                 if source.get("type") == "base64":
-                    source = f"data:{source['media_type']};base64,{source['data']}"
+                    source = base64_url(source.get("media_type"), source.get("data"), f"{where}.content[{i}]")
                 else:
                     source = source.get("url") or source.get("file_data")
             images.append(_image(source))
             parts.append(T.IMAGE)
         elif kind in ("document", "input_file"):
             parts.append(DOCUMENT)
-        elif kind not in ("thinking", "redacted_thinking", "tool_use", "tool_result", "refusal"):
+        elif kind not in ("thinking", "redacted_thinking", "tool_use", "tool_result", "tool_reference", "refusal"):
             raise BadRequest(f"{where}.content[{i}]: unknown block type {kind}")
     return "\n\n".join(parts), images
 
@@ -127,9 +124,9 @@ def _resolved(messages: list[dict]) -> None:
 
 
 def chat(body: dict) -> dict:
-    thinking, effort = body.get("thinking"), body.get("reasoning_effort")
-    on = thinking.get("type") in ("enabled", "adaptive") if thinking else effort != "none"
-    out = {"thinking": on, "effort": (effort if effort not in (None, "none") else "high") if on else None}
+    asked, effort = thinking_of(body.get("thinking")), effort_of("chat_completions", body.get("reasoning_effort"))
+    on = asked if asked is not None else body.get("reasoning_effort") != "none"
+    out = {"thinking": on, "effort": (effort or "high") if on else None}
     out |= _options(body | {"max_tokens": body.get("max_tokens", body.get("max_completion_tokens"))}, "max_tokens")
     stop = body.get("stop")
     need(not isinstance(stop, list) or len(stop) <= MAX_STOPS, f"at most {MAX_STOPS} stop sequences")
@@ -145,7 +142,7 @@ def chat(body: dict) -> dict:
         tools = _distinct([_tool(t.get("name"), t.get("description"), t.get("parameters", {"type": "object"}), t.get("strict")) for t in tools])
     out["tool_choice"], out["tools"] = _choice(choice, tools, on)
     messages = []
-    for i, m in enumerate(body["messages"]):
+    for i, m in enumerate(messages_of("chat_completions", body["messages"])):
         text, images = _content(m.get("content"), f"messages[{i}]")
         calls = [{"id": c["id"], "name": c["function"]["name"], "arguments": c["function"]["arguments"]} for c in m.get("tool_calls") or []]
         if m["role"] == "assistant":
@@ -153,8 +150,7 @@ def chat(body: dict) -> dict:
             need(m.get("tool_calls") != [], f"messages[{i}]: tool_calls must not be empty")
         if m["role"] == "system" and not text:
             continue
-        role = "user" if m["role"] == "developer" else m["role"]
-        messages.append(_message(role, text, images, m.get("reasoning_content"), calls, m.get("tool_call_id")))
+        messages.append(_message(m["role"], text, images, m.get("reasoning_content"), calls, m.get("tool_call_id")))
     _resolved(messages)
     form = (body.get("response_format") or {}).get("type", "text")
     need(form in ("text", "json_object", "json_schema"), f"unsupported response_format: {form}")
@@ -165,22 +161,23 @@ def chat(body: dict) -> dict:
 
 def content_blocks(body: dict) -> dict:
     """Messages with content blocks: a user message for each block, results and calls by id."""
-    thinking = body.get("thinking")
-    effort = (body.get("output_config") or {}).get("effort")
-    on = thinking.get("type") in ("enabled", "adaptive") if thinking else True
-    out = {"thinking": on, "effort": ({"ultra": "max"}.get(effort, effort) or "high") if on else None} | _options(body, "max_tokens")
+    asked, effort = thinking_of(body.get("thinking")), effort_of("messages", (body.get("output_config") or {}).get("effort"))
+    on = True if asked is None else asked
+    out = {"thinking": on, "effort": (effort or "high") if on else None} | _options(body, "max_tokens")
     stops = body.get("stop_sequences") or []
     need(len(stops) <= MAX_STOPS and all(stops), f"at most {MAX_STOPS} stop sequences, none empty")
     tools = body.get("tools") or []
     need(not any(str(t.get("type", "")).startswith("web_search") for t in tools), "web search is not supported")
     made = _distinct([_tool(t.get("name"), t.get("description"), t.get("input_schema"), t.get("strict")) for t in tools])
     choice = body.get("tool_choice") or {}
+    if choice:
+        variant(choice.get("type"), ("auto", "any", "tool", "none"), "tool_choice")
     mode = {"any": "auto", "tool": {"name": choice.get("name")}}.get(choice.get("type"), choice.get("type", "auto"))
     out["tool_choice"], out["tools"] = _choice(mode, made, on)
     messages = []
     if body.get("system") is not None:
         messages.append(_message("system", _content(body["system"], "system")[0]))
-    for i, m in enumerate(body["messages"]):
+    for i, m in enumerate(messages_of("messages", body["messages"])):
         blocks = [{"type": "text", "text": m["content"]}] if isinstance(m["content"], str) else m["content"]
         where = f"messages.{i}"
         if m["role"] == "system":
@@ -201,8 +198,8 @@ def content_blocks(body: dict) -> dict:
 
 def responses(body: dict) -> dict:
     need(T.IMAGE not in J.compact(body.get("input", "")), "text must not contain the image token")
-    effort = (body.get("reasoning") or {}).get("effort")
-    on = effort != "none"
+    asked = (body.get("reasoning") or {}).get("effort")
+    effort, on = effort_of("responses", asked), asked != "none"
     out = {"thinking": on, "effort": (effort or "high") if on else None, "stops": []} | _options(body, "max_output_tokens")
     tools: list[dict] = []
     for t in body.get("tools") or []:
@@ -217,14 +214,15 @@ def responses(body: dict) -> dict:
                     name, k = f"{t['name']}::{made['name']}_{k}", k + 1
                 tools.append(made | {"name": name})
         elif t["type"] == "custom":
-            need(t.get("name") == "apply_patch", f"unsupported custom tool: {t.get('name')}")
-            tools.append(_tool("apply_patch", t.get("description"), {"type": "object", "properties": {"input": {"type": "string"}}, "required": ["input"]}))
+            need(t.get("name") == patch_tool.NAME, f"unsupported custom tool: {t.get('name')}")
+            tools.append(_tool(patch_tool.NAME, patch_tool.DESCRIPTION, patch_tool.PARAMETERS))
     messages = [_message("system", _plain(body["instructions"]))] if body.get("instructions") is not None else []
     items = body.get("input", "")
     for i, item in enumerate([{"role": "user", "content": items}] if isinstance(items, str) else items):
         kind, last = item.get("type", "message"), messages[-1] if messages else None
         joinable = last is not None and last["role"] == "assistant" and not any(x["tool_call_id"] for x in messages[-1:])
         if kind == "message":
+            variant(item.get("role"), ROLES["responses"], f"input[{i}]")
             text, images = _content(item.get("content"), f"input[{i}]")
             role = "user" if item["role"] == "developer" else item["role"]
             if role == "assistant" and joinable and not last["calls"]:
@@ -267,16 +265,25 @@ def convert_body(protocol: str, body: str | None) -> dict:
         need(isinstance(request, dict), "a request is an object")
         for field in required:
             need(request.get(field) is not None, f"missing field `{field}`")
-        return row | make(request) | {"ok": True, "error_kind": None, "model": request["model"], "stream": bool(request.get("stream"))}
+        need(isinstance(request["model"], str), "model must be text")
+        need(isinstance(request.get("stream"), bool | None), "stream must be true or false")
+        made, stream = make(request), bool(request.get("stream"))
+        usage = not stream or protocol != "chat_completions" or bool((request.get("stream_options") or {}).get("include_usage"))
+        return row | made | {"ok": True, "error_kind": None, "model": request["model"], "stream": stream, "include_usage": usage, "reasoning_start": made["thinking"]}
     except BadRequest as e:
         return row | {"error": str(e)}
     except (ValueError, KeyError, TypeError, AttributeError, RecursionError) as e:
         return row | {"error": f"malformed request: {e}"}
 
 
-def convert(requests: DataFrame) -> DataFrame:
+def convert(requests: DataFrame, *keep: str) -> DataFrame:
+    """A row for each request; the columns named in `keep` come along."""
+    names = [x.split(" ")[0] for x in re.split(r", (?=\w+ )", CONVERTED)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([convert_body(p, x) for p, x in zip(b["protocol"], b["body"], strict=True)], columns=[x.split(" ")[0] for x in re.split(r", (?=\w+ )", CONVERTED)])
+            made = pd.DataFrame([convert_body(p, x) for p, x in zip(b["protocol"], b["body"], strict=True)], columns=names)
+            yield pd.concat([b[list(keep)].reset_index(drop=True), made], axis=1)
 
-    return requests.select("protocol", "body").mapInPandas(run, CONVERTED)
+    kept = "".join(f"`{c}` {requests.schema[c].dataType.simpleString()}, " for c in keep)
+    return requests.select(*keep, "protocol", "body").mapInPandas(run, kept + CONVERTED)

@@ -1,0 +1,103 @@
+"""What a request's fields may hold, by dialect: checked before conversion, so that converters meet known shapes only."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+from typing import Any
+
+
+class BadRequest(ValueError):
+    pass
+
+
+def need(ok: Any, message: str) -> None:
+    if not ok:
+        raise BadRequest(message)
+
+
+#: What the protocols allow; efforts with the level they stand for, None for none.
+ROLES = {
+    "chat_completions": ("system", "user", "assistant", "tool", "latest_reminder"),
+    "messages": ("user", "assistant", "system"),
+    "responses": ("user", "assistant", "system", "developer"),
+}
+EFFORTS = {
+    "chat_completions": {"none": None, "minimal": "low", "low": "low", "medium": "high", "high": "high", "xhigh": "xhigh", "max": "max"},
+    "messages": {"low": "low", "medium": "high", "high": "high", "xhigh": "xhigh", "ultra": "max", "max": "max"},
+}
+EFFORTS["responses"] = EFFORTS["chat_completions"]
+BLOCKS = {
+    "chat_completions": ("text", "image_url", "file"),
+    "messages": ("text", "image", "document", "thinking", "redacted_thinking", "tool_use", "tool_result", "tool_reference"),
+}
+THINKING = ("enabled", "adaptive", "disabled")
+MEDIA = {"image/jpeg": "image/jpeg", "image/jpg": "image/jpeg", "image/png": "image/png", "image/gif": "image/gif", "image/webp": "image/webp"}
+SOURCES = ("base64", "url", "file")
+
+
+def variant(value: Any, allowed: Any, where: str) -> Any:
+    need(isinstance(value, str) and value in allowed, f"{where}: unknown variant `{value}`, expected one of {', '.join(f'`{x}`' for x in allowed)}")
+    return value
+
+
+def whole(value: Any, name: str, below: int = 1 << 64) -> int | None:
+    if value is not None:
+        need(isinstance(value, int) and not isinstance(value, bool), f"{name} must be a whole number")
+        need(0 <= value < below, f"{name} must be in [0, {below})")
+    return value
+
+
+def number(value: Any, name: str) -> float | None:
+    need(value is None or isinstance(value, (int, float)) and not isinstance(value, bool), f"{name} must be a number")
+    return value
+
+
+def effort_of(dialect: str, value: Any) -> str | None:
+    """The level that an effort stands for; None where there is none or it says none."""
+    return None if value is None else EFFORTS[dialect][variant(value, EFFORTS[dialect], "effort")]
+
+
+def thinking_of(value: Any) -> bool | None:
+    """Whether a thinking control asks for thinking; None without one."""
+    if value is None:
+        return None
+    need(isinstance(value, dict) and "type" in value, "thinking: missing field `type`")
+    return variant(value["type"], THINKING, "thinking") != "disabled"
+
+
+def messages_of(dialect: str, value: Any) -> list[dict]:
+    """The messages, each with a known role, the fields that its role needs, and known blocks."""
+    need(isinstance(value, list), "messages must be a list")
+    for i, m in enumerate(value):
+        where = f"messages[{i}]"
+        need(isinstance(m, dict), f"{where} must be an object")
+        role = variant(m.get("role"), ROLES[dialect], where)
+        content = m.get("content")
+        need(content is None or isinstance(content, (str, list)), f"{where}: content must be text or blocks")
+        if dialect == "chat_completions":
+            need(role == "assistant" or content is not None, f"{where}: missing field `content`")
+            need(role != "tool" or isinstance(m.get("tool_call_id"), str), f"{where}: missing field `tool_call_id`")
+        else:
+            need(content is not None and content != [], f"{where}: all messages must have non-empty content")
+        for k, block in enumerate(content if isinstance(content, list) else ()):
+            need(isinstance(block, dict), f"{where}.content[{k}] must be an object")
+            kind = variant(block.get("type"), BLOCKS[dialect], f"{where}.content[{k}]")
+            need(kind != "tool_use" or role == "assistant", f"{where}: `tool_use` blocks can only be in `assistant` messages")
+            need(kind != "tool_result" or role == "user", f"{where}: `tool_result` blocks can only be in `user` messages")
+    return value
+
+
+def base64_url(media_type: Any, data: Any, where: str) -> str:
+    """A data URL of a declared type. Padding that is there is put right; the payload must decode."""
+    kind = MEDIA.get(str(media_type).split(";", 1)[0].strip().lower())
+    need(kind, f"{where}: unsupported image")
+    need(isinstance(data, str), f"{where}: missing field `data`")
+    if data.endswith("="):
+        bare = data.rstrip("=")
+        data = bare + "=" * (-len(bare) % 4) if len(bare) % 4 != 1 else data
+    try:
+        base64.b64decode(data.replace("\r", "").replace("\n", ""), validate=True)
+    except (binascii.Error, ValueError):
+        raise BadRequest(f"{where}: base64 decode error") from None
+    return f"data:{kind};base64,{data}"

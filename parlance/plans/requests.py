@@ -14,24 +14,49 @@ from .registry import collector, table
 QUERIES, ORACLES, query = collector()
 
 
+#: By conv_id modulo 7: what each dialect's requests hold besides the messages, as SQL, and what comes of it.
+_CASES = {
+    "chat_completions": (["NULL", "'banana'", "'minimal'", "'none'", "'medium'", "'max'", "'xhigh'"], {1: "effort: unknown variant `banana`, expected one of `none`, `minimal`, `low`, `medium`, `high`, `xhigh`, `max`"}),
+    "messages": (["NULL", "'none'", "'low'", "'ultra'", "'medium'", "'max'", "'xhigh'"], {1: "effort: unknown variant `none`, expected one of `low`, `medium`, `high`, `xhigh`, `ultra`, `max`"}),
+    "responses": (["NULL", "'ultra'", "'minimal'", "'none'", "'high'", "'max'", "'low'"], {1: "effort: unknown variant `ultra`, expected one of `none`, `minimal`, `low`, `medium`, `high`, `xhigh`, `max`"}),
+}
+#: The level that each of the efforts above stands for, in order; None: no thinking.
+_LEVELS = {"chat_completions": ["high", None, "low", None, "high", "max", "xhigh"], "messages": ["high", None, "low", "max", "high", "max", "xhigh"], "responses": ["high", None, "low", None, "high", "max", "low"]}
+
+
 def _bodies(spark: SparkSession, d: str, protocol: str) -> DataFrame:
+    """A request a conversation: its turns, a tool, an effort, a seed; every fifth is too hot, every eleventh's seed too large."""
     df = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
     if protocol == "messages":
         df = df.filter("role <> 'system'")
     g = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     turns = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    body = F.struct(F.lit("m").alias("model"), turns.alias("input" if protocol == "responses" else "messages"), F.when(F.col("conv_id") % 5 == 0, 3.0).otherwise(0.5).alias("temperature"))
-    return g.select(F.lit(protocol).alias("protocol"), F.to_json(body).alias("body"))
+    effort = F.element_at(F.expr(f"array({', '.join(_CASES[protocol][0])})"), (F.pmod("conv_id", F.lit(7)) + 1).cast("int"))
+    at = {"chat_completions": effort.alias("reasoning_effort"), "messages": F.struct(effort.alias("effort")).alias("output_config"), "responses": F.struct(effort.alias("effort")).alias("reasoning")}[protocol]
+    tool = F.expr({
+        "chat_completions": "array(named_struct('type', 'function', 'function', named_struct('name', concat('f', conv_id), 'parameters', named_struct('type', 'object'))))",
+        "messages": "array(named_struct('name', concat('f', conv_id), 'input_schema', named_struct('type', 'object')))",
+        "responses": "array(named_struct('type', 'function', 'name', concat('f', conv_id), 'parameters', named_struct('type', 'object')))",
+    }[protocol]).alias("tools")
+    seed = F.when(F.col("conv_id") % 11 == 0, F.expr("9223372036854775808")).otherwise(F.expr("7")).cast("decimal(20,0)").alias("seed")
+    body = F.struct(F.concat(F.lit("m"), "conv_id").alias("model"), turns.alias("input" if protocol == "responses" else "messages"), at, tool, seed, F.when(F.col("conv_id") % 5 == 0, 3.0).otherwise(0.5).alias("temperature"))
+    return g.select("conv_id", F.lit(protocol).alias("protocol"), F.to_json(body).alias("body"))
 
 
 def _convert(protocol: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = conversion.convert(_bodies(spark, sf_dir, protocol))
-        return c.groupBy("ok", "error").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("messages")), F.lit(0)).alias("n_messages"))
+        c = conversion.convert(_bodies(spark, sf_dir, protocol), "conv_id")
+        said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+        return c.select("conv_id", "ok", "error", "model", "thinking", "effort", F.col("tools")[0]["name"].alias("tool"), F.size("messages").cast("bigint").alias("n_messages"), F.sha2(said, 256).alias("said_sha256"))
 
     keep = "WHERE role <> 'system'" if protocol == "messages" else ""
-    sql = f"""SELECT ok, error, count(*)::BIGINT AS n, coalesce(sum(m), 0)::BIGINT AS n_messages FROM (SELECT conv_id, conv_id % 5 <> 0 AS ok,
-      CASE WHEN conv_id % 5 = 0 THEN 'temperature must be between 0 and 2' END AS error, count(*) FILTER (conv_id % 5 <> 0) AS m FROM conversations {keep} GROUP BY conv_id) GROUP BY ok, error"""
+    error = next(iter(_CASES[protocol][1].values()))
+    levels = ", ".join("NULL" if x is None else f"'{x}'" for x in _LEVELS[protocol])
+    thinks = "efforts[conv_id % 7 + 1] IS NOT NULL" if protocol != "messages" else "true"
+    sql = f"""WITH g AS (SELECT conv_id, [{levels}] AS efforts, count(*)::BIGINT AS n, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS s FROM conversations {keep} GROUP BY conv_id),
+      e AS (SELECT *, CASE WHEN conv_id % 7 = 1 THEN '{error}' WHEN conv_id % 5 = 0 THEN 'temperature must be between 0 and 2' WHEN conv_id % 11 = 0 THEN 'seed must be in [0, 9223372036854775808)' END AS error FROM g)
+      SELECT conv_id, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN 'm' || conv_id END AS model, CASE WHEN error IS NULL THEN {thinks} END AS thinking, CASE WHEN error IS NULL THEN efforts[conv_id % 7 + 1] END AS effort,
+      CASE WHEN error IS NULL THEN 'f' || conv_id END AS tool, CASE WHEN error IS NULL THEN n END AS n_messages, CASE WHEN error IS NULL THEN s END AS said_sha256 FROM e"""
     query(sql, f"convert_{protocol}")(run)
 
 

@@ -50,6 +50,7 @@ def media_name(name: str) -> str:
 
 def parse_data_url(url: str, most: int = MAX_BYTES) -> tuple[str, bytes]:
     """(media type, bytes); type and estimated size are checked before anything is decoded."""
+    url = re.sub(r"[\t\n\r]", "", url.lstrip("".join(map(chr, range(33)))))  # as URLs are read
     if url[:5].lower() != "data:" or "," not in url:
         raise ImageError("invalid_data_url")
     head, body = url[5:].split("#", 1)[0].split(",", 1)

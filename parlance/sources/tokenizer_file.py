@@ -27,23 +27,45 @@ LETTER = alphabet()
 BYTE = {c: b for b, c in LETTER.items()}
 
 
+#: How a file's pre-tokenizer cuts: three patterns one after the other (digits, CJK, words), or the plain byte-level one.
+SPLITS = {"three": X.pieces, "byte_level": X.byte_level_pieces}
+
+
+def split_of(pre: dict | None) -> str:
+    """Which of SPLITS a file's pre_tokenizer asks for; anything else is refused."""
+    if pre and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
+        return "byte_level"
+    if pre and pre.get("type") == "Sequence":
+        *splits, last = pre.get("pretokenizers") or [{}]
+        plain = last.get("type") == "ByteLevel" and not last.get("use_regex", True) and not last.get("add_prefix_space")
+        if plain and len(splits) == 3 and all(x.get("type") == "Split" and x.get("behavior") == "Isolated" and not x.get("invert") for x in splits):
+            return "three"
+    raise ValueError("unsupported tokenizer: its pre_tokenizer is neither plain byte-level nor three isolating splits")
+
+
 @dataclass
 class Tokenizer:
     vocab: dict[str, int]
     merges: dict[tuple[str, str], int]
     added: dict[str, int] = field(default_factory=dict)
     special: set[str] = field(default_factory=set)
+    #: A key of SPLITS.
+    split: str = "three"
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        if model.get("type") != "BPE" or spec.get("normalizer") or model.get("dropout") or model.get("unk_token"):
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk", "ignore_merges")
+        if model.get("type") != "BPE" or spec.get("normalizer") or any(model.get(k) for k in options):
             raise ValueError("unsupported tokenizer: plain byte-level BPE is needed")
+        split = split_of(spec.get("pre_tokenizer"))
+        if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+            raise ValueError("unsupported tokenizer: its decoder isn't byte-level")
         pair = lambda m: tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m)
         added = spec.get("added_tokens") or []
-        return cls(model["vocab"], {pair(m): i for i, m in enumerate(model["merges"])}, {t["content"]: t["id"] for t in added}, {t["content"] for t in added if t.get("special")})
+        return cls(model["vocab"], {pair(m): i for i, m in enumerate(model["merges"])}, {t["content"]: t["id"] for t in added}, {t["content"] for t in added if t.get("special")}, split)
 
     def __post_init__(self) -> None:
         self.token = {i: t for t, i in self.vocab.items()}
@@ -90,8 +112,10 @@ class Tokenizer:
         )
 
 
-def encode(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, pieces=X.pieces) -> DataFrame:  # noqa: ANN001
-    """(key, ids): texts are cut at added tokens, then into pieces; each distinct piece is encoded once and joined back."""
+def encode(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, pieces=None) -> DataFrame:  # noqa: ANN001
+    """(key, ids) of every row: texts are cut at added tokens, then into pieces as the tokenizer's file says; each distinct
+    piece is encoded once and joined back. Rows of the same key, or of none, stay rows of their own."""
+    pieces = pieces or SPLITS[tokenizer.split]
     held = df.sparkSession.sparkContext.broadcast(tokenizer)  # the vocabulary, an input of fixed size
     if tokenizer.added:
         names = "|".join(rf"\Q{t}\E" for t in sorted(tokenizer.added, key=len, reverse=True))
@@ -99,7 +123,7 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, pieces=X.pi
         cut = F.flatten(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(rf"\A(?:{names})\z")), F.array(p)).otherwise(pieces(p))))
     else:
         cut = pieces(F.coalesce(text, F.lit("")))
-    rows = df.select(key, F.posexplode_outer(cut).alias("pos", "piece"))
+    rows = df.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", key, F.posexplode_outer(cut).alias("pos", "piece"))
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = held.value
@@ -109,7 +133,7 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, pieces=X.pi
     known = rows.select("piece").filter("piece IS NOT NULL").distinct().mapInPandas(once, "piece string, piece_ids array<int>")
     joined = rows.join(known, "piece", "left")
     listed = F.array_sort(F.collect_list(F.struct("pos", "piece_ids")))
-    return joined.groupBy(key).agg(F.flatten(F.transform(F.filter(listed, lambda x: x["piece_ids"].isNotNull()), lambda x: x["piece_ids"])).alias("ids"))
+    return joined.groupBy("row_id", key).agg(F.flatten(F.transform(F.filter(listed, lambda x: x["piece_ids"].isNotNull()), lambda x: x["piece_ids"])).alias("ids")).drop("row_id")
 
 
 def decode(df: DataFrame, ids: str, tokenizer: Tokenizer, skip_special: bool = False):  # noqa: ANN201

@@ -229,8 +229,11 @@ class Responses:
 
     @staticmethod
     def collect(events: list[Event]) -> dict:
-        """The last event that carries a whole response holds everything before it."""
-        return next(e["response"] for _, e in reversed(events) if "response" in e)
+        """The last event that carries a whole response holds everything before it; of a stream that breaks off, items
+        that ended since come along."""
+        at, whole = next(((i, e["response"]) for i, (_, e) in reversed(list(enumerate(events))) if "response" in e), (-1, {"object": "response", "status": "in_progress", "output": []}))
+        since = [e["item"] for _, e in events[at + 1 :] if "item" in e and str(e.get("type", "")).endswith("output_item.done")]
+        return whole | {"output": [*whole.get("output", []), *since]} if since else whole
 
 
 DIALECTS = {"chat_completions": Chat, "messages": Messages, "responses": Responses}

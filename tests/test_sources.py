@@ -1,7 +1,9 @@
+import json
 import struct
 
 import pytest
 
+from parlance.functions import patch_tool
 from parlance.operators import conversion
 from parlance.sources import image_sources, readers, tokenizer_file
 from parlance.streaming.custom_input import CustomInput
@@ -85,3 +87,71 @@ def test_tokenizer_against_library(spark, tmp_path):
     for piece in ("hello", " world", "日本", "ééé", "aaaaaaaaaaaa", "!?;"):
         assert ours.encode_piece(piece) == theirs.encode(piece, add_special_tokens=False).ids
     assert ours.decode([50256, 15496], True) == "Hello" and ours.vocab_size() == 50257
+    texts = ["Hello 12345 it's  x don't", "日本語、テスト 1234\n\n  a", "<|endoftext|> é　b ", "", None]
+    rows = [(2, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[3]), (5, texts[4])]
+    got = tokenizer_file.encode(spark.createDataFrame(rows, "k bigint, t string"), "k", "t", ours).collect()
+    want = [(k, theirs.encode(t or "", add_special_tokens=False).ids) for k, t in rows]
+    assert sorted(((r["k"], r["ids"] or []) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_tokenizer_files_that_are_refused():
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    split = {"type": "Split", "pattern": {"Regex": "x"}, "behavior": "Isolated", "invert": False}
+    assert tokenizer_file.split_of({"type": "Sequence", "pretokenizers": [split, split, split, level]}) == "three"
+    for pre in (None, {"type": "Whitespace"}, level, level | {"use_regex": True, "add_prefix_space": True}, {"type": "Sequence", "pretokenizers": [split, level]}, {"type": "Sequence", "pretokenizers": [split, split, split | {"invert": True}, level]}):
+        with pytest.raises(ValueError):
+            tokenizer_file.split_of(pre)
+
+
+def _said(protocol, **body):
+    return conversion.convert_body(protocol, json.dumps({"model": "m"} | body))
+
+
+def test_requests_that_are_refused():
+    user = {"role": "user", "content": "a"}
+    image = lambda **s: {"role": "user", "content": [{"type": "image", "source": {"type": "base64"} | s}]}
+    for protocol, body, words in (
+        ("chat_completions", {"messages": [{"role": "banana", "content": "a"}]}, "unknown variant `banana`"),
+        ("chat_completions", {"messages": [{"role": "user"}]}, "missing field `content`"),
+        ("chat_completions", {"messages": [{"role": "tool", "content": "a"}]}, "missing field `tool_call_id`"),
+        ("chat_completions", {"messages": [user], "reasoning_effort": "banana"}, "unknown variant `banana`"),
+        ("chat_completions", {"messages": [user], "thinking": {"type": "on"}}, "unknown variant `on`"),
+        ("chat_completions", {"messages": [user], "seed": 2**63}, "seed must be in"),
+        ("chat_completions", {"messages": [user], "max_tokens": 1.5}, "whole number"),
+        ("chat_completions", {"messages": [{"role": "user", "content": [{"type": "video"}]}]}, "unknown variant `video`"),
+        ("messages", {"messages": [{"role": "banana", "content": "a"}]}, "unknown variant `banana`"),
+        ("messages", {"messages": [{"role": "user", "content": []}]}, "non-empty content"),
+        ("messages", {"messages": [{"role": "user", "content": [{"type": "tool_use", "id": "x", "name": "f", "input": {}}]}]}, "can only be in `assistant`"),
+        ("messages", {"messages": [image(media_type="text/plain", data="eHl6")]}, "unsupported image"),
+        ("messages", {"messages": [image(media_type="image/png", data="!!!")]}, "base64 decode error"),
+        ("messages", {"messages": [user], "output_config": {"effort": "none"}}, "unknown variant `none`"),
+        ("messages", {"messages": [user], "tool_choice": {"type": "some"}}, "unknown variant `some`"),
+        ("responses", {"input": [{"role": "banana", "content": "a"}]}, "unknown variant `banana`"),
+        ("responses", {"input": "a", "reasoning": {"effort": "ultra"}}, "unknown variant `ultra`"),
+    ):
+        got = _said(protocol, **body)
+        assert not got["ok"] and words in got["error"], (body, got["error"])
+    assert _said("messages", messages=[image(media_type="IMAGE/JPG; q=1", data="eHl6eQ=")])["messages"][0]["images"] == ["data:image/jpeg;base64,eHl6eQ=="]
+
+
+def test_efforts_usage_and_the_patch_tool():
+    for protocol, key, effort, want in (("chat_completions", "messages", "minimal", "low"), ("chat_completions", "messages", "medium", "high"), ("responses", "input", "xhigh", "xhigh")):
+        more = {"reasoning_effort": effort} if protocol == "chat_completions" else {"reasoning": {"effort": effort}}
+        got = _said(protocol, **{key: [{"role": "user", "content": "a"}]}, **more)
+        assert got["ok"] and (got["thinking"], got["effort"], got["reasoning_start"]) == (True, want, True)
+    asked = lambda **b: _said("chat_completions", messages=[{"role": "user", "content": "a"}], **b)["include_usage"]
+    assert (asked(), asked(stream=True), asked(stream=True, stream_options={"include_usage": True})) == (True, False, True)
+    tool = _said("responses", input="a", tools=[{"type": "custom", "name": "apply_patch", "description": "other"}])["tools"][0]
+    assert tool["description"] == patch_tool.DESCRIPTION and "*** Begin Patch" in tool["description"] and '"additionalProperties": false' in tool["parameters"]
+
+
+def test_data_urls_are_read_as_urls():
+    for url in (" DATA:image/png;base64,eHl6", "da\tta:image/png;base64,eHl6"):
+        assert image_sources.parse_data_url(url)[0] == "image/png"
+
+
+def test_a_stream_that_breaks_off():
+    from parlance.streaming.generators import Responses
+
+    events = [("response.created", {"type": "response.created", "response": {"id": "r", "status": "in_progress", "output": []}}), ("x", {"type": "response.output_item.done", "item": {"id": "i"}})]
+    assert Responses.collect(events) == {"id": "r", "status": "in_progress", "output": [{"id": "i"}]} and Responses.collect([])["output"] == []
