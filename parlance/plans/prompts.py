@@ -47,11 +47,19 @@ _RUNS = dict(keep="role <> 'assistant'")
 _MID = dict(role="CASE WHEN turn % 3 = 2 THEN 'system' ELSE role END")
 
 
-def _register(name: str, version: T.Version, thinking: bool = False, effort: str | None = None, role: str = "role", keep: str = "true", required: bool = False, json_format: bool = False) -> None:
+def _register(name: str, version: T.Version, thinking: bool = False, effort: str | None = None, role: str = "role", keep: str = "true", required: bool = False, json_format: bool = False, tools: list[tuple[str, str, str]] | None = None) -> None:
+    """tools: (name, description, parameters) of each."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rendering.render(_messages(spark, sf_dir, role, keep), version, thinking, effort, required, json_format=json_format)
+        schemas = tools and tool_calls.render_schemas(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(d).alias("description"), F.lit(p).alias("parameters")) for n, d, p in tools)))
+        return rendering.render(_messages(spark, sf_dir, role, keep), version, thinking, effort, required, schemas, json_format)
+
+    listed = "\n".join(f'{{"name": "{n}", "description": "{d}", "parameters": {p}}}' for n, d, p in tools or ())
+    prompt = "\n\n" + version.tool_prompt("\0").split("\0")[0] + listed + T.TOOLS_TAIL if tools else ""
+    query(_sql(version, thinking, effort, role, keep, required, prompt + (T.JSON_FORMAT if json_format else "")), name)(run)
+
 
-    query(_sql(version, thinking, effort, role, keep, required, T.JSON_FORMAT if json_format else ""), name)(run)
+_TOOLS = [("find", "Finds things.", '{"type": "object", "properties": {"what": {"type": "string"}}, "required": ["what"]}'), ("now", "Tells the time.", '{"type": "object"}')]
 
 
 for _v in (T.V4, T.V41):
@@ -63,6 +71,8 @@ for _v in (T.V4, T.V41):
     _register(f"render_mid_system_{_v.name}", _v, True, **_MID)
     _register(f"render_required_{_v.name}", _v, required=True)
     _register(f"render_json_format_{_v.name}", _v, json_format=True)
+    _register(f"render_tools_{_v.name}", _v, tools=_TOOLS)
+    _register(f"render_tools_json_{_v.name}", _v, True, tools=_TOOLS, json_format=True)
 
 
 @query("""

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import conversion
+from ..operators import conversion, rendering
 from ..sources import tokenizer_file
 from .registry import collector, table
 
@@ -90,3 +90,13 @@ if tokenizer_path():
     def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = tokenizer_file.Tokenizer.load(tokenizer_path())
         return tokenizer_file.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", t).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
+
+    @query()
+    def encode_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Conversations rendered and encoded: (conv_id, n_tokens, ids_sha256)."""
+        t = tokenizer_file.Tokenizer.load(tokenizer_path())
+        df = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+        turns = df.select("conv_id", F.col("turn").cast("bigint").alias("idx"), "role", F.col("text").alias("content"))
+        ids = tokenizer_file.encode(rendering.render(turns), "conv_id", "prompt", t)
+        listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+        return ids.select("conv_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"))

@@ -98,16 +98,19 @@ class Parser:
         else:
             out.append((kind, text))
 
-    def _next(self) -> tuple[int, int, Rule] | None:
-        """The marker that ends first in the held text: start, end, rule; earlier rules win ties."""
+    def _next(self, at: int, seen: dict[str, int]) -> tuple[int, int, Rule] | None:
+        """The marker that ends first in the held text from `at` on: start, end, rule; earlier rules win ties. `seen` keeps
+        where each marker was found last, so that a feed looks through its text once a marker, not once a find."""
         best = None
         for rule in self.table[self.stage].rules:
-            at = self.held.find(rule.marker)
-            if at >= 0 and (best is None or at + len(rule.marker) < best[1]):
-                start = at
-                while rule.newlines and start and self.held[start - 1] == "\n":
+            found = seen.get(rule.marker, 0)
+            if 0 <= found and (found < at or rule.marker not in seen):
+                found = seen[rule.marker] = self.held.find(rule.marker, at)
+            if found >= 0 and (best is None or found + len(rule.marker) < best[1]):
+                start = found
+                while rule.newlines and start > at and self.held[start - 1] == "\n":
                     start -= 1
-                best = start, at + len(rule.marker), rule
+                best = start, found + len(rule.marker), rule
         return best
 
     def _maybe(self) -> int:
@@ -124,18 +127,21 @@ class Parser:
     def feed(self, text: str) -> list[tuple[str, str]]:
         out: list[tuple[str, str]] = []
         self.held += text
+        at, seen = 0, {}
         while True:
-            if self.table[self.stage].leading and self.at_start and self.held:
-                self.held = self.held.lstrip("\n")
-                self.at_start = not self.held
-            found = self._next()
+            if self.table[self.stage].leading and self.at_start and at < len(self.held):
+                while at < len(self.held) and self.held[at] == "\n":
+                    at += 1
+                self.at_start = at == len(self.held)
+            found = self._next(at, seen)
             if found is None:
                 break
-            start, end, rule = found
-            self._rest(self.held[:start], out)
-            self.held = self.held[end:]
+            start, at_end, rule = found
+            self._rest(self.held[at:start], out)
+            at = at_end
             self._emit(rule, out)
             self.stage, self.at_start = rule.to, True
+        self.held = self.held[at:]
         keep = self._maybe()
         self._rest(self.held[: len(self.held) - keep], out)
         self.held = self.held[len(self.held) - keep :]

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import struct
 
@@ -5,6 +6,7 @@ import pytest
 
 from parlance.functions import patch_tool
 from parlance.operators import conversion
+from parlance.plans import catalog
 from parlance.sources import image_sources, readers, tokenizer_file
 from parlance.streaming.custom_input import CustomInput
 
@@ -155,3 +157,13 @@ def test_a_stream_that_breaks_off():
 
     events = [("response.created", {"type": "response.created", "response": {"id": "r", "status": "in_progress", "output": []}}), ("x", {"type": "response.output_item.done", "item": {"id": "i"}})]
     assert Responses.collect(events) == {"id": "r", "status": "in_progress", "output": [{"id": "i"}]} and Responses.collect([])["output"] == []
+
+
+def test_prompts_are_encoded_as_the_library_does(spark):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    d = "/root/testdata/sf0.001"
+    prompts = {r["conv_id"]: r["prompt"] for r in catalog.QUERIES["render_prompt_v41"](spark, d).collect()}
+    got = catalog.QUERIES["encode_prompt"](spark, d).collect()
+    want = {c: theirs.encode(p, add_special_tokens=False).ids for c, p in prompts.items()}
+    assert {r["conv_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got} == {c: (len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for c, i in want.items()}
