@@ -46,7 +46,7 @@ class Spans:
     #: Windows of one context at most; contexts of one anchor in a shard at most.
     most_windows: int = 1024
     hot: int = 2000
-    shard_bytes: int = 1 << 20
+    shard_bytes: int = 2 << 20
     memory: int = 64 << 20
     bitmap_bits: int = 24
 
