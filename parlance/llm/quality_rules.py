@@ -6,7 +6,8 @@ document's figures come from arrays built inside its row.
 
 Edge cases: null and empty texts have no words, so they fail the base rules and their cleaned text is
 empty; a null doc_id is kept as it is; repeated rows are judged row by row; an empty table gives an empty
-one; other columns of the input, whatever their names, are not touched by `judge` and not returned.
+one; `judge` hands on other columns, whatever their names, but one called as its own result (`name`), which
+gives way to it. Scripts without marks at the end of sentences would fail the rule on long lines without one: `unended_words=None` turns it off.
 """
 
 from __future__ import annotations
@@ -27,14 +28,31 @@ class Rules:
     #: Punctuation: a line fails with more than so many symbols, or runs of '!' and '?', for 100 words.
     max_symbol_percent: int = 30
     max_shout_percent: int = 30
+    #: Punctuation: a line of so many words or more fails if no mark in it ends a sentence; None: never.
+    unended_words: int | None = 20
     #: Navigation: a line fails with that many separators or more, for 100 words.
     max_separator_percent: int = 30
     #: Boilerplate: phrases of site furniture, looked for in lines of at most so many words.
     boilerplate: tuple[str, ...] = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "lorem ipsum", "click here to", "skip to content", "subscribe to our newsletter")
+    #: The same in other languages of the table.
+    boilerplate_elsewhere: tuple[str, ...] = ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "zum inhalt springen", "newsletter abonnieren", "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "aller au contenu", "todos los derechos reservados", "política de privacidad", "condiciones de uso", "aviso legal", "saltar al contenido")
     boilerplate_words: int = 30
     #: A document goes when failing lines held more than this share of its word characters.
     max_lost_percent: int = 50
 
+    @property
+    def phrases(self) -> str:
+        """The boilerplate as one pattern for (?i:): by first letters, and other than ASCII letters in both cases."""
+        by: dict[str, list[str]] = {}
+        for p in (*self.boilerplate, *self.boilerplate_elsewhere):
+            spelled = "".join(c if c.isascii() and c.isalnum() or c in " '" else f"[{c.lower()}{c.upper()}]" if c.isalpha() else re.escape(c) for c in p)
+            by.setdefault(p[0], []).append(spelled.removeprefix(p[0]))
+        return "|".join(f"{first}(?:{'|'.join(rest)})" if first.isascii() and (first.isalnum() or first in " '") else "|".join(rest) for first, rest in sorted(by.items()))
+
+
+#: Marks that end a sentence.
+MARKS = "[.!?…。！？｡؟।]"
+
 
 def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
@@ -72,9 +90,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _suspect(text: Column, rules: Rules) -> Column:
-    """False if no line of the text can fail: the line rules need one of these characters or phrases."""
-    phrases = "|".join(re.escape(p) for p in rules.boilerplate)
-    return F.rlike(text, F.lit(r"[#*$%&<>!?|»›•·]" + (f"|(?i:{phrases})" if phrases else "")))
+    """False if no line of the text can fail but for its end: the other rules need one of these characters or phrases."""
+    return F.rlike(text, F.lit(r"[#*$%&<>!?|»›•·]" + (f"|(?i:{rules.phrases})" if rules.phrases else "")))
+
+
+def _ended(line: Column, rules: Rules) -> Column:
+    """False for a long line without an end of a sentence."""
+    return F.lit(True) if rules.unended_words is None else F.rlike(line, F.lit(MARKS)) | (_count(line, SPACES) + 1 < rules.unended_words)
 
 
 def _keeps(line: Column, rules: Rules) -> Column:
@@ -82,16 +104,17 @@ def _keeps(line: Column, rules: Rules) -> Column:
     n_words = _count(line, SPACES) + 1  # runs of spaces only make the rules milder
     symbols, shouts, separators = _count(line, "#*$%&<>"), _count(line, "!?"), _count(line, "|»›•·")
     few = n_words <= rules.boilerplate_words
-    phrases = F.rlike(line, F.lit("(?i:" + "|".join(re.escape(p) for p in rules.boilerplate) + ")")) if rules.boilerplate else F.lit(False)
+    phrases = F.rlike(line, F.lit(f"(?i:{rules.phrases})")) if rules.phrases else F.lit(False)
     too_many = lambda n, percent, least: (n >= least) & (100 * n > percent * n_words)
-    return ~(too_many(symbols, rules.max_symbol_percent, 3) | too_many(shouts, rules.max_shout_percent, 6) | too_many(separators, rules.max_separator_percent, 3) | (few & phrases))
+    return _ended(line, rules) & ~(too_many(symbols, rules.max_symbol_percent, 3) | too_many(shouts, rules.max_shout_percent, 6) | too_many(separators, rules.max_separator_percent, 3) | (few & phrases))
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
-    """The input's columns with `verdict`: figures, base_failed, kept and the cleaned text."""
+def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", name: str = "verdict") -> DataFrame:
+    """The input's columns with the struct `name` behind them: figures, base_failed, kept and the cleaned text."""
+    columns, docs = docs.columns, docs.select(F.struct("*").alias("_doc"), F.col(text).alias("text"))
     spaced = F.transform(F.col("_lines"), lambda x: F.struct(x.alias("line"), F.length(F.translate(x, SPACES, "")).cast("bigint").alias("c")))
-    df = measure(docs, text).withColumn("_lines", spaced)
-    df = df.withColumn("_good", F.when(_suspect(F.col("_t"), rules), F.filter(F.col("_lines"), lambda x: _keeps(x["line"], rules))).otherwise(F.col("_lines")))
+    df = measure(docs).withColumn("_lines", spaced)
+    df = df.withColumn("_good", F.when(_suspect(F.col("_t"), rules), F.filter(F.col("_lines"), lambda x: _keeps(x["line"], rules))).otherwise(F.filter(F.col("_lines"), lambda x: _ended(x["line"], rules))))
     with_word = F.transform(F.filter(F.col("_lines"), lambda x: x["c"] > 0), lambda x: x["line"])
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
     df = df.withColumns({
@@ -108,7 +131,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFr
         lost.alias("lost_chars"), (F.size("_lines") - F.size("_good")).cast("bigint").alias("n_lines_removed"),
         F.array_join(F.transform(F.col("_good"), lambda x: x["line"]), "\n").alias("cleaned_text"),
     )
-    return df.withColumn("verdict", verdict).drop("_t", "_lines", "_good", "_with_word", "_kept_chars", "_base", "_n_words", "_word_chars", "_n_symbols", "_n_repeat_words")
+    return df.select(*(F.col("_doc")[c].alias(c) for c in columns if c.lower() != name.lower()), verdict.alias(name))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ p AS (SELECT r, count(DISTINCT j) AS n_repeat FROM (SELECT r, unnest([i, i + 1,
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 m AS (SELECT r, line, len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS c, len(line) - len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) + 1 AS n,
   len(line) - len(regexp_replace(line, '[#*$%&<>]', '', 'g')) AS sy, len(line) - len(regexp_replace(line, '[!?]', '', 'g')) AS sh, len(line) - len(regexp_replace(line, '[|»›•·]', '', 'g')) AS se,
-  regexp_matches(line, '(?i)({"|".join(quality_rules.Rules().boilerplate)})') AS ph FROM l),
-k AS (SELECT r, line, c, NOT ((sy >= 3 AND 100 * sy > 30 * n) OR (sh >= 6 AND 100 * sh > 30 * n) OR (se >= 3 AND 100 * se > 30 * n) OR (n <= 30 AND ph)) AS good FROM m),
+  regexp_matches(line, '(?i)({quality_rules.Rules().phrases.replace("'", "''")})') AS ph, regexp_matches(line, '{quality_rules.MARKS}') AS ended FROM l),
+k AS (SELECT r, line, c, NOT ((sy >= 3 AND 100 * sy > 30 * n) OR (sh >= 6 AND 100 * sh > 30 * n) OR (se >= 3 AND 100 * se > 30 * n) OR (n <= 30 AND ph) OR (n >= 20 AND NOT ended)) AS good FROM m),
 x AS (SELECT r, count(*) FILTER (c > 0) - count(DISTINCT line) FILTER (c > 0) AS dup, sum(CASE WHEN good THEN 0 ELSE c END) AS lost, count(*) FILTER (NOT good) AS gone FROM k GROUP BY r),
 f AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(gone, 0)::BIGINT AS n_lines_removed
