@@ -3,7 +3,8 @@
 Each source's words, document after document, are packed into fixed-length blocks. Output shards draw
 multinomial counts of slots per source; a source's slots, numbered through the shards, go through a
 pseudorandom permutation of its block indexes, a new one for each pass over the source; blocks join by index.
-A source's last slot is cut so that its words meet the target to the word.
+The longest slot of a source's last pass is cut so that its words meet the target to the word. Slots of all sources are
+numbered within their shard and go through a permutation too: (shard, place) orders the mix.
 
 Scale: only (doc_id, source, size) is shuffled. A hot source is dealt over hash buckets for its
 running word offsets, and joins on (source, block), so no key holds more than one block's pieces. The recipe
@@ -77,73 +78,131 @@ def _network(blocks: int, seed: int) -> tuple[int, int, int]:
     return bits, seed & 0xFFFFFFFF, (seed * 2654435761 + 97) & 0xFFFFFFFF
 
 
-def permuted(index: np.ndarray, blocks: int, seed: int) -> np.ndarray:
-    """The pseudorandom permutation of range(blocks) that `seed` names: a Feistel network, walked until back in range."""
+def _keyed(right: np.ndarray, turn: int, key: int, mask: np.uint64) -> np.ndarray:
+    f = (right + np.uint64(key) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+    f ^= f >> np.uint64(29)
+    f *= np.uint64(0xBF58476D1CE4E5B9)
+    return (f >> np.uint64(32)) & mask
+
+
+def permuted(index: np.ndarray, blocks: int, seed: int, back: bool = False) -> np.ndarray:
+    """The pseudorandom permutation of range(blocks) that `seed` names: a Feistel network, walked until back in range.
+    `back`: its inverse."""
     bits, k0, k1 = _network(blocks, seed)
     mask = np.uint64((1 << bits) - 1)
+    turns = list(enumerate((k0, k1, k0 ^ 0x9E3779B9, k1 ^ 0x85EBCA6B)))
     out = index.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         left, right = out[todo] >> np.uint64(bits), out[todo] & mask
-        for turn, key in enumerate((k0, k1, k0 ^ 0x9E3779B9, k1 ^ 0x85EBCA6B)):
-            f = (right + np.uint64(key) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-            f ^= f >> np.uint64(29)
-            f *= np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((f >> np.uint64(32)) & mask)
+        for turn, key in reversed(turns) if back else turns:
+            if back:
+                left, right = right ^ _keyed(left, turn, key, mask), left
+            else:
+                left, right = right, left ^ _keyed(right, turn, key, mask)
         out[todo] = (left << np.uint64(bits)) | right
         todo = todo[out[todo] >= np.uint64(blocks)]
     return out.astype(np.int64)
 
 
-def slots(spark: SparkSession, recipe: list, mix: Mix) -> DataFrame:
-    """(shard, place, rank, pass, block, words): the slots of the mix. `recipe`: one (rank, source_size, target) a source.
+def _seed(mix: Mix, *names: int) -> int:
+    return zlib.crc32("/".join(map(str, (mix.seed, *names))).encode())
 
-    A shard's counts are one multinomial draw with the sources' shares of slots, seeded by the shard; a source that
-    has met its target takes no more, and what the draws have left over fills the last shards."""
-    plan = []
+
+@dataclass(frozen=True)
+class _Source:
+    """What a source gives: `full` whole passes, then `more` slots, the longest of which, at `cut`, loses `over` words."""
+
+    rank: int
+    size: int
+    blocks: int
+    full: int
+    more: int
+    cut: int
+    over: int
+
+    @property
+    def slots(self) -> int:
+        return self.full * self.blocks + self.more
+
+
+def _sources(recipe: list, mix: Mix) -> list[_Source]:
+    out = []
     for rank, size, target in recipe:
-        want, size = min(int(round(target)), mix.max_passes * int(size)), int(size)
-        if not want:
+        size = int(size)
+        if not (want := min(int(round(target)), mix.max_passes * size)):
             continue
         blocks = max(1, size // mix.block_words)  # what is left over lengthens the last one
         full, rest = divmod(want, size)
-        plan.append((rank, size, blocks, want, full * blocks + min(blocks, -(-rest // mix.block_words))))
-    schema = "shard bigint, place bigint, rank int, pass int, block bigint, words bigint, want bigint, size bigint"
-    if not plan:
+        more = min(blocks, -(-rest // mix.block_words))
+        last = int(permuted(np.array([blocks - 1]), blocks, _seed(mix, rank, full), back=True)[0])  # the slot of the long block
+        longer = size - blocks * mix.block_words if last < more else 0
+        out.append(_Source(rank, size, blocks, full, more, last if last < more else more - 1, more * mix.block_words + longer - rest))
+    return out
+
+
+def _running(rows: DataFrame, by: str, order: str, value: str, wide: int) -> DataFrame:
+    """`before`: the sum of `value` in the rows of `by` with a smaller `order`; ranges of `wide` orders are summed first, so
+    that no task holds all rows of `by`."""
+    dealt = rows.withColumn("_range", F.floor(F.col(order) / wide))
+    sums = dealt.groupBy(by, "_range").agg(F.sum(value).alias("_n"))
+    sums = sums.select(by, "_range", (F.sum("_n").over(Window.partitionBy(by).orderBy("_range")) - F.col("_n")).alias("_base"))
+    inner = F.sum(value).over(Window.partitionBy(by, "_range").orderBy(order)) - F.col(value)
+    return dealt.withColumn("_inner", inner).join(sums, [by, "_range"]).withColumn("before", F.col("_base") + F.col("_inner")).drop("_range", "_base", "_inner")
+
+
+def slots(spark: SparkSession, recipe: list, mix: Mix) -> DataFrame:
+    """(shard, place, rank, pass, block, words): the slots of the mix; (shard, place) is a key and orders it.
+    `recipe`: one (rank, source_size, target) a source.
+
+    A shard's counts are one multinomial draw with the sources' shares of slots, seeded by the shard; a source that
+    has met its target takes no more, and what the draws have left over fills the last shards."""
+    sources = _sources(recipe, mix)
+    schema = "shard bigint, place bigint, rank int, pass int, block bigint, words bigint"
+    if not sources:
         return spark.createDataFrame([], schema)
-    need = np.array([p[4] for p in plan], dtype=np.int64)
+    need = np.array([s.slots for s in sources], dtype=np.int64)
     n_shards = int(-(-need.sum() // mix.shard_slots))
     share = need / need.sum()
 
     def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = [np.random.default_rng([mix.seed, int(s)]).multinomial(mix.shard_slots, share) for s in batch["id"]]
-            yield pd.DataFrame({"shard": np.repeat(batch["id"].to_numpy(), len(plan)), "i": np.tile(np.arange(len(plan), dtype=np.int32), len(counts)), "n": np.concatenate(counts)})
-
-    drawn = spark.range(n_shards).mapInPandas(draws, "shard bigint, i int, n bigint")
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("shard"))
-    limits = F.element_at(F.array(*[F.lit(int(x)) for x in need]), F.col("i") + 1)
-    drawn = drawn.withColumn("to", F.least(upto, limits)).withColumn("from", F.least(upto - F.col("n"), limits))
-    rest = drawn.groupBy("i").agg(F.max("to").alias("from")).select(F.lit(n_shards).cast("bigint").alias("shard"), "i", "from", limits.alias("to"))
-    ranges = drawn.select("shard", "i", "from", "to").unionByName(rest).filter(F.col("to") > F.col("from"))
-    # no row stands for more than one shard's slots
-    cuts = F.explode(F.sequence(F.col("from"), F.col("to") - 1, F.lit(mix.shard_slots).cast("bigint")))
-    ranges = ranges.select("shard", "i", "to", cuts.alias("from")).withColumn("to", F.least("to", F.col("from") + mix.shard_slots))
+            for shard in batch["id"]:
+                counts = np.random.default_rng([mix.seed, int(shard)]).multinomial(mix.shard_slots, share)
+                i = np.flatnonzero(counts)
+                yield pd.DataFrame({"shard": shard, "i": i.astype(np.int32), "n": counts[i]})
+
+    needs = spark.createDataFrame([(i, int(n)) for i, n in enumerate(need)], "i int, need bigint")
+    drawn = _running(spark.range(n_shards).mapInPandas(draws, "shard bigint, i int, n bigint"), "i", "shard", "n", 4096).join(needs, "i")
+    drawn = drawn.select("shard", "i", F.least("before", "need").alias("from"), F.least(F.col("before") + F.col("n"), "need").alias("to"), "need").filter("to > from")
+    # what is left over, cut where a shard is full
+    rest = needs.join(drawn.groupBy("i").agg(F.max("to").alias("met")), "i", "left").withColumn("met", F.coalesce("met", F.lit(0))).withColumn("n", F.col("need") - F.col("met")).filter("n > 0")
+    full = F.lit(mix.shard_slots)
+    rest = rest.withColumn("at", F.sum("n").over(Window.orderBy("i")) - F.col("n"))  # at most one row a source
+    rest = rest.select("i", "met", "n", "at", F.explode(F.sequence(F.floor(F.col("at") / full), F.floor((F.col("at") + F.col("n") - 1) / full))).alias("k"))
+    begin, end = F.greatest("at", F.col("k") * full), F.least(F.col("at") + F.col("n"), (F.col("k") + 1) * full)
+    rest = rest.select((F.lit(n_shards) + F.col("k")).cast("bigint").alias("shard"), "i", (F.col("met") + begin - F.col("at")).alias("from"), (F.col("met") + end - F.col("at")).alias("to"))
+    # whole shards are dealt out, some 2**17 slots a task; then each range knows where in its shard it stands
+    dealt = drawn.select("shard", "i", "from", "to").unionByName(rest).repartition(max(1, n_shards * mix.shard_slots >> 17), "shard")
+    shard = Window.partitionBy("shard")
+    n = F.col("to") - F.col("from")
+    dealt = dealt.withColumn("at", F.sum(n).over(shard.orderBy("i")) - n).withColumn("all", F.sum(n).over(shard))
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                rank, size, blocks, want, _ = plan[row.i]
-                slot = np.arange(row[2], row.to, dtype=np.int64)
-                turn, index = slot // blocks, slot % blocks
+            for i, at, total, begin, end, number in zip(*(batch[c] for c in ("i", "at", "all", "from", "to", "shard")), strict=True):
+                s, slot = sources[i], np.arange(begin, end, dtype=np.int64)
+                turn, index = slot // s.blocks, slot % s.blocks
                 block = np.empty_like(slot)
                 for t in np.unique(turn):
-                    at = turn == t
-                    block[at] = permuted(index[at], blocks, zlib.crc32(f"{mix.seed}/{rank}/{t}".encode()))
-                place = permuted(slot % mix.shard_slots, mix.shard_slots, zlib.crc32(f"{mix.seed}/{row.shard}".encode()))
-                yield pd.DataFrame({"shard": row.shard, "place": place, "rank": rank, "pass": turn.astype(np.int32), "block": block, "words": np.where(block == blocks - 1, size - block * mix.block_words, mix.block_words), "want": want, "size": size})
+                    of = turn == t
+                    block[of] = permuted(index[of], s.blocks, _seed(mix, s.rank, int(t)))
+                words = np.where(block == s.blocks - 1, s.size - block * mix.block_words, mix.block_words)
+                words[(turn == s.full) & (index == s.cut)] -= s.over
+                place = permuted(at + slot - begin, int(total), _seed(mix, int(number)))
+                yield pd.DataFrame({"shard": number, "place": place, "rank": s.rank, "pass": turn.astype(np.int32), "block": block, "words": words})
 
-    return ranges.select("shard", "i", F.col("from").alias("begin"), "to").mapInPandas(expand, schema)
+    return dealt.select("shard", "i", "from", "to", "at", "all").mapInPandas(expand, schema)
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -170,23 +229,12 @@ def plan(docs: DataFrame, mix: Mix = Mix(), text: str = "text") -> tuple[DataFra
     blocks = span.select("*", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1))).alias("block"))
     end = F.when(F.col("block") == final, F.col("source_size")).otherwise((F.col("block") + 1) * length)
     pieces = blocks.select("doc_id", "h", "again", "rank", "block", "start", F.greatest(F.col("start"), F.col("block") * length).alias("a"), F.least(F.col("start") + F.col("size"), end).alias("b"))
-    taken = _cut(slots(spark, [(r["rank"], r["source_size"], r["target"]) for r in rows], mix))
+    taken = slots(spark, [(r["rank"], r["source_size"], r["target"]) for r in rows], mix)
     mixed = taken.hint("merge").join(pieces, ["rank", "block"])  # the optimizer takes the slots, made from a few shards, for few rows
     mixed = mixed.withColumn("b", F.least("b", F.col("block") * length + F.col("words"))).filter("b > a")
     return sized, mixed.select("shard", "place", "pass", "doc_id", "h", "again", "rank", (F.col("a") - F.col("start")).alias("first"), (F.col("b") - F.col("start")).alias("last"))
 
 
-def _cut(taken: DataFrame) -> DataFrame:
-    """Cuts the longest slot of each source's last pass so that the source's sum is what it wants; what is over
-    is less than that slot."""
-    sums = taken.groupBy("rank").agg(F.sum("words").alias("sum"), F.max("pass").alias("last_pass"), F.max("want").alias("want")).withColumn("over", F.col("sum") - F.col("want"))
-    edge = taken.join(sums.select("rank", "last_pass"), "rank").filter(F.col("pass") == F.col("last_pass")).groupBy("rank").agg(F.max(F.struct("words", "block")).alias("e"))
-    edge = sums.join(edge, "rank").select("rank", "over", F.col("last_pass"), F.col("e.block").alias("cut_block"))
-    joined = taken.join(F.broadcast(edge), "rank")  # one row a source
-    at = (F.col("pass") == F.col("last_pass")) & (F.col("block") == F.col("cut_block"))
-    return joined.withColumn("words", F.when(at, F.greatest(F.col("words") - F.greatest(F.col("over"), F.lit(0)), F.lit(0))).otherwise(F.col("words"))).drop("over", "last_pass", "cut_block", "want", "size")
-
-
 def same_row(renamed: str = "_") -> Column:
     return F.col("doc_id").eqNullSafe(F.col(f"{renamed}doc_id")) & F.col("h").eqNullSafe(F.col(f"{renamed}h")) & (F.col("again") == F.col(f"{renamed}again"))
 
