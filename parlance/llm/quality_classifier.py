@@ -5,8 +5,9 @@ the log-count ratio of the two classes, and a linear hinge-loss model is fitted
 coordinate descent; its weights are mixed with their mean magnitude, as the published method does. A
 logistic curve over the margin, fitted on labelled texts the model didn't see, gives the score.
 
-Fitting takes a bounded sample of labelled rows (`Fit.sample`, the first by a hash of doc_id), so the driver holds
-no more than that; scoring is one narrow pass over whole texts. Texts are cut into pieces of `Fit.piece` bytes while
+Fitting takes a bounded sample of labelled rows (`Fit.sample`, the first by a hash of doc_id, counted after the join
+with the texts, so that repeated doc_ids don't lengthen it). Tasks turn its texts into grams, and the driver holds
+no more than those; scoring is one narrow pass over whole texts. Texts are cut into pieces of `Fit.piece` bytes while
 grams are looked up, so a very long text needs no more memory than its own bytes and 2 MB of bits.
 
 Edge cases: null and empty texts have no grams and get the score of the intercept alone; without labels, or with
@@ -95,13 +96,14 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w
 
 
-def fit(texts: list[str], labels: list[int], how: Fit = Fit()) -> Model:
+def fit(texts: list[str | np.ndarray], labels: list[int], how: Fit = Fit()) -> Model:
+    """`texts`: whole texts, or the grams() of them."""
     y = np.where(np.array(labels, dtype=np.int64) == 1, 1, -1)
     good = int((y > 0).sum())
     if good in (0, len(y)):
         share = (good + 1) / (len(y) + 2)
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0, 1.0, float(np.log(share / (1 - share))))
-    found = [grams((t or "").encode(), how.piece) for t in texts]
+    found = [t if isinstance(t, np.ndarray) else grams((t or "").encode(), how.piece) for t in texts]
     back = np.arange(len(y)) % how.held_back == 0
     if len(set(y[~back])) < 2 or len(set(y[back])) < 2:
         back[:] = False
@@ -141,9 +143,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
-    """At most `how.sample` labelled rows that aren't held out: those whose doc_id hashes lowest, then their texts."""
+    """At most `how.sample` labelled rows that aren't held out, those whose doc_id hashes lowest: doc_id, quality, and the
+    text's distinct grams as bytes of 32-bit integers."""
     chosen = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(how.sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # how.sample rows at most
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # how.sample rows at most
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = pa.array([grams((t or "").encode(), how.piece).astype("<i4").tobytes() for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), g], ["doc_id", "quality", "grams"])
+
+    rows = labelled.select("doc_id", "quality", "text").mapInArrow(found, "doc_id bigint, quality int, grams binary")
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "grams").limit(how.sample)
 
 
 def score(docs: DataFrame, model: Model, piece: int = Fit.piece) -> DataFrame:
@@ -167,5 +178,5 @@ def score(docs: DataFrame, model: Model, piece: int = Fit.piece) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    rows = sample(docs, table(spark, sf_dir, "labels", "doc_id", "quality")).toPandas().sort_values(["doc_id", "text"])
-    return score(docs, fit(rows["text"].tolist(), rows["quality"].tolist()))
+    rows = sample(docs, table(spark, sf_dir, "labels", "doc_id", "quality")).toPandas().sort_values(["doc_id", "grams"])
+    return score(docs, fit([np.frombuffer(g, dtype="<i4") for g in rows["grams"]], rows["quality"].tolist()))
