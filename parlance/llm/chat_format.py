@@ -78,13 +78,34 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("*", turns.alias("turns"), under.alias("loss_texts"))
 
 
-def log_of(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as the log that would have produced them: a start and a delta each."""
+def log_of(conversations: DataFrame, delta: int = 200, deltas: int = 64) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as a log that would have produced them.
+
+    Texts come in deltas of `delta` code points, longer ones beyond `deltas` of them, so that cutting a very long text
+    stays linear. By a hash of the row, a third of the messages are drafted first and regenerated, another third are
+    drafted and then edited into their beginning; behind every fourth message stands one that is deleted again."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     m = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("message", F.row_number().over(order).cast("bigint"))
-    event = lambda k, kind, role, text: F.struct((F.col("message") * 2 + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
-    both = F.array(event(0, "start", F.col("role"), F.lit("")), event(1, "delta", F.lit(None).cast("string"), F.col("text")))
-    return m.select("conv_id", "message", F.explode(both).alias("e")).select("conv_id", F.col("e.seq").alias("seq"), "message", "e.kind", "e.role", "e.text")
+    m = m.withColumn("way", F.pmod(F.xxhash64("conv_id", "message"), F.lit(12))).withColumn("size", F.greatest(F.lit(delta), F.ceil(F.length("text") / deltas).cast("int")))
+    m = m.withColumn("count", F.greatest(F.lit(1), F.ceil(F.length("text") / F.col("size")).cast("int")))
+    none, first = F.lit(None).cast("string"), F.col("message") * 2 * (deltas + 8)
+
+    def event(k: Column | int, kind: str, text: Column, role: Column = none, of: int = 0) -> Column:
+        k = k if isinstance(k, Column) else F.lit(k)
+        return F.struct((first + k).cast("bigint").alias("seq"), (F.col("message") * 2 + of).alias("message"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    piece = lambda i: F.substr(F.col("text"), i * F.col("size") + 1, F.col("size"))
+    pieces = lambda at: F.transform(F.sequence(F.lit(at), F.col("count") - 1), lambda i: event(i + 4, "delta", piece(i)))
+    nothing = F.slice(pieces(0), 1, 0)
+    draft = event(1, "delta", F.concat(F.lit("draft: "), F.left("text", F.lit(delta))))
+    own = (
+        F.when(F.col("way") % 3 == 1, F.concat(F.array(draft, event(2, "regenerate", none)), pieces(0)))
+        .when(F.col("way") % 3 == 2, F.concat(F.array(draft, event(3, "edit", piece(F.lit(0)))), F.when(F.col("count") > 1, pieces(1)).otherwise(nothing)))
+        .otherwise(pieces(0))
+    )
+    over = F.array(event(deltas + 5, "start", F.lit(""), F.col("role"), 1), event(deltas + 6, "delta", F.lit("sent by mistake"), none, 1), event(deltas + 7, "delete", none, none, 1))
+    events = F.concat(F.array(event(0, "start", F.lit(""), F.col("role"))), own, F.when(F.col("way") % 4 == 0, over).otherwise(nothing))
+    return m.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.message", "e.kind", "e.role", "e.text")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
