@@ -68,6 +68,12 @@ def test_quality_rules_drop_navigation_and_keep_prose(spark):
     df = spark.createDataFrame([(1, prose), (2, menu), (3, prose + "\n" + " | ".join("abcde"))], "doc_id bigint, text string")
     kept = {r["doc_id"]: (r["verdict"]["kept"], r["verdict"]["cleaned_text"]) for r in quality_rules.judge(df).collect()}
     assert kept[1] == (True, prose) and not kept[2][0] and kept[3] == (True, prose)
+    flat = " ".join(words(prose)).replace(".", "")
+    lines = [prose, "Alle Rechte vorbehalten", " ".join(flat.split()[:25]), "a heading", "POLÍTICA DE PRIVACIDAD"]
+    df = spark.createDataFrame([("\n".join(lines), 1, "x", "y", "z")], "text string, _t int, _lines string, _good string, verdict string")
+    out = quality_rules.judge(df).collect()[0]
+    assert out["verdict"]["cleaned_text"] == prose + "\na heading" and tuple(out)[:-1] == ("\n".join(lines), 1, "x", "y")
+    assert quality_rules.judge(df, name="v").collect()[0]["verdict"] == "z"
 
 
 def test_mixing_meets_targets(docs, empty, rows):
@@ -89,11 +95,37 @@ def test_mixing_meets_targets(docs, empty, rows):
     again = mixing.plan(docs, mix)[1]
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, pieces.collect()), key=str)
     assert mixing.plan(empty, mix)[1].count() == 0
+    # targets, shared again one source after another
+    size = {s: sum(len(words(r[1])) for r in rows if r[3] == s) for s in sources}
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(size, key=lambda s: (s is None, (s or "").encode("utf-32-be"))))}
+    full = set()
+    while True:
+        level = (total - sum(3 * size[s] for s in full)) / sum(w for s, w in weight.items() if s not in full)
+        above = {s for s in size if s not in full and level * weight[s] > 3 * size[s]}
+        if not above:
+            break
+        full |= above
+    assert all(abs(sources[s][1] - (3 * size[s] if s in full else level * weight[s])) < 1e-6 for s in size)
 
 
 def test_permutation_is_one():
     for n in (1, 2, 7, 1000):
-        assert sorted(mixing.permuted(np.arange(n), n, 99).tolist()) == list(range(n))
+        there = mixing.permuted(np.arange(n), n, 99)
+        assert sorted(there.tolist()) == list(range(n)) == mixing.permuted(there, n, 99, back=True).tolist()
+
+
+@pytest.mark.parametrize("recipe", [[(1, 900, 500.0), (2, 37, 111.0), (3, 5000, 5100.0)], [(1, 20, 7.0)], [(1, 16, 16.0), (2, 0, 0.0)]])
+def test_slots_have_places_of_their_own(spark, recipe):
+    mix = mixing.Mix(block_words=16, shard_slots=8)
+    made = mixing.slots(spark, recipe, mix).collect()
+    shards = defaultdict(list)
+    for r in made:
+        shards[r["shard"]].append(r["place"])
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values()) and max(map(len, shards.values())) <= 8
+    for rank, size, target in recipe:
+        own = [r for r in made if r["rank"] == rank]
+        assert sum(r["words"] for r in own) == target
+        assert len({(r["pass"], r["block"]) for r in own}) == len(own)
 
 
 def test_bpe_equals_tokenizers(docs, empty, rows):
@@ -141,15 +173,33 @@ def test_classifier_learns(spark, empty):
     df = spark.createDataFrame([*made, (1000, None), (1001, "")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i, _ in made] + [(5, None, 1)], "doc_id bigint, quality int, toxic int")
     picked = quality_classifier.sample(df, labels).toPandas()
-    model = quality_classifier.fit(picked["text"].tolist(), picked["quality"].tolist())
+    model = quality_classifier.fit([np.frombuffer(g, "<i4") for g in picked["grams"]], picked["quality"].tolist())
     out = quality_classifier.score(df, model).collect()
     held = [r for r in out if r["held_out"] and r["doc_id"] < 1000]
     assert held and np.mean([r["predicted"] == int(r["doc_id"] % 4 > 0) for r in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in out) and len(out) == 402
+    many = quality_classifier.sample(df.union(df).union(df), labels, quality_classifier.Fit(sample=10)).collect()
+    assert len(many) == 10
     assert quality_classifier.fit([], []).score(np.zeros(0, np.int32)) == pytest.approx(0.5)
     assert quality_classifier.score(empty, model).count() == 0
 
 
+def test_dual_coordinate_descent_finds_the_optimum():
+    rng = np.random.default_rng(3)
+    n, k = 80, 12
+    x, y = rng.normal(size=(n, k)), rng.choice([-1, 1], n)
+    cost = np.full(n, 0.7)
+    w = quality_classifier.dual_coordinate_descent([(np.arange(k), v) for v in x], y, k, cost, 4000, 1)
+    full = np.column_stack([x, np.ones(n)])
+    primal = lambda w: 0.5 * w @ w + cost @ np.maximum(0, 1 - y * (full @ w))
+    v, best = np.zeros(k + 1), np.inf  # a subgradient method with falling steps
+    for t in range(1, 40_000):
+        short = y * (full @ v) < 1
+        v = v - (v - (cost * y * short) @ full) / t
+        best = min(best, primal(v))
+    assert primal(w) <= best * 1.001
+
+
 def test_suffix_dedup(docs, empty, rows):
     for how in (suffix_dedup.Spans(length=40, gram=8), suffix_dedup.Spans(length=40, gram=8, hot=1, memory=64)):
         seen = Counter(b[i : i + 40] for b in ((r[1] or "").encode() for r in rows) for i in range(len(b) - 39))
@@ -203,6 +253,22 @@ def test_fingerprint_is_homomorphic():
         assert changed.hex() == f(fingerprints.paragraphs(new)).hex()
 
 
+def test_likeness_is_near_the_shared_share():
+    rng = random.Random(4)
+    errors = []
+    for _ in range(40):
+        a = [f"{rng.random()}." for _ in range(40)]
+        shared = rng.randrange(41)
+        b = a[:shared] + [f"{rng.random()}." for _ in range(40 - shared)]
+        errors.append(fingerprints.likeness(fingerprints.Fingerprint(a), fingerprints.Fingerprint(b)) - shared / 40)
+    assert np.sqrt(np.mean(np.square(errors))) < 0.05 and max(map(abs, errors)) < 0.2
+
+
+def test_many_equal_paragraphs_dont_wrap():
+    some, more = fingerprints.Fingerprint(["x."] * 65_535), fingerprints.Fingerprint(["x."] * 65_536)
+    assert more.like.any() and fingerprints.likeness(some, more) > 0.99
+
+
 def _classes(texts, k, percent):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
@@ -269,3 +335,15 @@ def test_chat_format_round_trip(spark):
     assert [(t["role"], t["text"]) for t in out[7]["turns"]] == [(r[2], r[3] or "") for r in rows[: len(texts)]]
     assert out[7]["loss_texts"] == [t or "" for t in texts[::2]]
     assert len(out[9]["turns"]) == 2 and len(out) == 3
+    assert chat_format.read_back(chat_format.render(chat_format.fold(chat_format.log_of(df.limit(0))))).count() == 0
+
+
+def test_chat_logs_have_all_kinds_and_fold_back(spark):
+    rng = random.Random(6)
+    rows = [(c, t, ["user", "assistant"][t % 2], "".join(rng.choice("ab \n日") for _ in range(rng.choice([0, 3, 10, 11, 500])))) for c in range(8) for t in range(6)]
+    log = chat_format.log_of(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), delta=10, deltas=16)
+    events = log.collect()
+    assert {e["kind"] for e in events} == {"start", "delta", "edit", "regenerate", "delete"}
+    assert len({(e["conv_id"], e["seq"]) for e in events}) == len(events)
+    folded = sorted(chat_format.fold(log).collect(), key=lambda r: (r["conv_id"], r["message"]))
+    assert [(r["conv_id"], r["role"], r["text"]) for r in folded] == [(r[0], r[2], r[3]) for r in rows]
