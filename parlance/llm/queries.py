@@ -22,7 +22,37 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(k: int) -> str:
+    """A word list's k-word shingles; a shorter list is one by itself."""
+    return f"CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: w[i:i + {k - 1}]) WHEN len(w) > 0 THEN [w] ELSE [] END"
+
+
 ORACLES = {
+    "op8_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest({_shingles(4)}) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+k AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM k JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reached AS (SELECT r, r AS x FROM d UNION SELECT reached.r, e.b FROM reached JOIN e ON e.a = reached.x)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN reached ON reached.r = d.r JOIN d o ON o.r = reached.x GROUP BY d.r""",
+    "op9_line_dedup": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS text FROM d),
+v AS (SELECT doc_id, i, text, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM l),
+f AS (SELECT row_number() OVER () AS r, w, min((doc_id, i)) AS first FROM v WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT DISTINCT r, unnest({_shingles(5)}) AS g FROM f),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+k AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g GROUP BY a.r, b.r),
+m AS (SELECT a AS r, min(f.first) AS earliest FROM k JOIN n x ON x.r = a JOIN n y ON y.r = b JOIN f ON f.r = b WHERE 100 * k >= 80 * (x.n + y.n - k) GROUP BY a),
+g AS (SELECT doc_id, i, text, coalesce(m.earliest < (doc_id, i), false) AS gone FROM v LEFT JOIN f ON f.w = v.w LEFT JOIN m USING (r)),
+o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, len(kept)::BIGINT AS n_chars_kept, sha256(kept) AS kept_sha256 FROM o""",
     "op6_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d),
