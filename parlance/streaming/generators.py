@@ -10,6 +10,7 @@ from typing import Any
 
 from ..functions import jsontext as J
 from ..operators.requests import FINISH
+from .custom_input import CustomInput
 
 Event = tuple[str | None, dict[str, Any]]
 
@@ -153,12 +154,12 @@ class Messages:
 class Responses:
     """Output items with parts; every event carries a sequence number."""
 
-    def __init__(self, id: str, model: str, thinking: bool = False, created: int = 0, namespaces: dict[str, tuple[str, str]] | None = None) -> None:
+    def __init__(self, id: str, model: str, thinking: bool = False, created: int = 0, namespaces: dict[str, tuple[str, str]] | None = None, custom: frozenset[str] = frozenset()) -> None:
         self.id, self.model, self.created = id, model, created
         self.items: list[dict] = []
         self.kind: str | None = None
         self.text, self.n, self.calls = "", 0, 0
-        self.namespaces = namespaces or {}
+        self.namespaces, self.custom, self.input = namespaces or {}, custom, CustomInput()
 
     def _event(self, kind: str, **body: Any) -> Event:
         self.n += 1
@@ -180,6 +181,10 @@ class Responses:
         if self.kind == "function_call":
             item["arguments"] = self.text
             out.append(self._event("function_call_arguments.done", arguments=self.text, **at))
+        elif self.kind == "custom_tool_call":
+            out += self._input(self.input.finish())
+            item["input"] = self.text
+            out.append(self._event("custom_tool_call_input.done", input=self.text, **at))
         else:
             name = "output_text" if self.kind == "message" else "reasoning_text"
             part = {"type": name, "text": self.text} | ({"annotations": [], "logprobs": []} if self.kind == "message" else {})
@@ -196,11 +201,15 @@ class Responses:
         self.items.append({"type": kind, "id": f"{prefix}_{self.id}_{len(self.items)}", "status": "in_progress"} | item)
         self.kind = kind
         out.append(self._event("output_item.added", item=dict(self.items[-1]), output_index=len(self.items) - 1))
-        if kind != "function_call":
+        if kind not in ("function_call", "custom_tool_call"):
             name = "output_text" if kind == "message" else "reasoning_text"
             out.append(self._event("content_part.added", content_index=0, **self._at(), part={"type": name, "text": ""}))
         return out
 
+    def _input(self, delta: str) -> list[Event]:
+        self.text += delta
+        return [self._event("custom_tool_call_input.delta", delta=delta, **self._at())] if delta else []
+
     def piece(self, kind: str, text: str) -> list[Event]:
         if kind == "begin":
             if self.kind == "message":
@@ -208,9 +217,17 @@ class Responses:
             return []
         if kind == "tool":
             self.calls += 1
-            space, name = self.namespaces.get(text, (None, text))
-            return self._open("function_call", "fc", call_id=f"call_{self.id}_{self.calls - 1}", name=name, arguments="", **({"namespace": space} if space else {}))
+            call = f"call_{self.id}_{self.calls - 1}"
+            if text in self.custom:
+                out = self._open("custom_tool_call", "ctc", call_id=call, name=text, input="")
+                self.input = CustomInput()
+                return out
+            front, cut, back = text.partition("::")
+            space, name = self.namespaces.get(text) or ((front, back) if cut else (None, text))
+            return self._open("function_call", "fc", call_id=call, name=name, arguments="", **({"namespace": space} if space else {}))
         if kind == "args":
+            if self.kind == "custom_tool_call":
+                return self._input(self.input.feed(text))
             if self.kind != "function_call":
                 return []
             self.text += text

@@ -25,6 +25,7 @@ class Options:
     in_tools: bool = False
     reasoning: str | None = None  # start, reasoning, content
     stops: tuple[str, ...] = ()
+    custom_tools: tuple[str, ...] = ()  # tools whose input is free text; only the responses dialect tells them apart
 
 
 @dataclass(frozen=True)

@@ -25,7 +25,7 @@ EVENT = "stream_id bigint, event_seq bigint, event_name string, data string"
 class Processor:
     def __init__(self, stream_id: Any, dialect: str, options: Options, model: str = "model") -> None:
         self.parser = Parser(options)
-        self.generator = DIALECTS[dialect](str(stream_id), model, (options.reasoning or "content") in ("start", "reasoning"))
+        self.generator = DIALECTS[dialect](str(stream_id), model, (options.reasoning or "content") in ("start", "reasoning"), **({"custom": frozenset(options.custom_tools)} if dialect == "responses" else {}))
         self.usage, self.started, self.done, self.last_seq, self.n = Usage(), False, False, None, 0
 
     def _begin(self, fingerprint: str | None = None) -> list[Event]:
@@ -94,26 +94,56 @@ def to_responses(chunks: DataFrame, dialect: str, options: Options = Options(),
 
 
 class _Stateful(StatefulProcessor):
-    def __init__(self, dialect: str, options: Options, model: str) -> None:
-        self.how = dialect, options, model
+    """State: the pickled parser and its timer; of an ended stream a mark that expires, so that late chunks are known as such."""
+
+    def __init__(self, dialect: str, options: Options, model: str, idle_ms: int | None) -> None:
+        self.how, self.idle_ms = (dialect, options, model), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("parser", "state binary")
+        self.handle, self.state = handle, handle.getValueState("parser", "state binary, timer bigint")
+        self.ended = handle.getValueState("ended", "ended boolean", *([3 * self.idle_ms] if self.idle_ms else []))
+
+    def _rows(self, key: Any, p: Processor, events: list[Event]) -> pd.DataFrame:
+        return pd.DataFrame(p.rows(key[0], events), columns=["stream_id", "event_seq", "event_name", "data"])
+
+    def _end(self) -> None:
+        self.state.clear()
+        self.ended.update((True,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        p = pickle.loads(self.state.get()[0]) if self.state.exists() else Processor(key[0], *self.how)
-        events = [e for c in _chunks(pd.concat(list(rows))) for e in p.push(c)]
-        out = pd.DataFrame(p.rows(key[0], events), columns=["stream_id", "event_seq", "event_name", "data"])
-        self.state.update((pickle.dumps(p),))
+        if self.ended.exists():
+            return
+        held, timer = self.state.get() if self.state.exists() else (None, 0)
+        p = pickle.loads(held) if held else Processor(key[0], *self.how)
+        out = self._rows(key, p, [e for c in _chunks(pd.concat(list(rows))) for e in p.push(c)])
+        if timer:
+            self.handle.deleteTimer(timer)
+        if p.done:
+            self._end()
+        else:
+            if self.idle_ms:
+                timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+                self.handle.registerTimer(timer)
+            self.state.update((pickle.dumps(p), timer))
         yield out
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            p = pickle.loads(self.state.get()[0])
+            yield self._rows(key, p, p.end())
+            self._end()
+
     def close(self) -> None:
         pass
 
 
-def stream_events(chunks: DataFrame, dialect: str, options: Options = Options(), model: str = "model") -> DataFrame:
-    """Structured Streaming: the same parser as state of its stream (RocksDB state store)."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(_Stateful(dialect, options, model), EVENT, "Append", "None")
+def stream_events(chunks: DataFrame, dialect: str, options: Options = Options(), model: str = "model", idle_ms: int | None = None) -> DataFrame:
+    """Structured Streaming: the same parser as state of its stream (RocksDB state store).
+
+    An ended stream's parser goes at once, and a mark stays by which later chunks are dropped. With `idle_ms`, a stream
+    without chunks for so long ends there, as if its source had, and marks go after three times as long. That needs
+    processing time, under which a query triggered by availableNow always has another batch to run: leave it out there."""
+    return chunks.groupBy("stream_id").transformWithStateInPandas(_Stateful(dialect, options, model, idle_ms), EVENT, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def decode_output(df: DataFrame, dialect: str, options: Options = Options()) -> DataFrame:

@@ -141,6 +141,36 @@ def test_complete_responses(spark):
     assert [i["type"] for i in got["responses"]["output"]] == ["reasoning", "message", "function_call", "function_call"] and got["responses"]["status"] == "completed"
 
 
+def test_custom_tools_and_namespaces():
+    options = Options(parse_tools=True, custom_tools=("note",))
+    g = processing.Processor(7, "responses", options).generator
+    events = [e for kind, text in (("raw", "so"), ("begin", ""), ("tool", "note"), ("args", '{"input": "a'), ("args", '\\n"}'), ("tool", "box::open"), ("args", "{}")) for e in g.piece(kind, text)]
+    events += g.finish("tool_calls", None, generators.Usage())
+    names = [n for n, _ in events]
+    assert names.count("response.custom_tool_call_input.delta") == 2 and names.count("response.custom_tool_call_input.done") == 1
+    assert [e["sequence_number"] for _, e in events] == list(range(len(events)))
+    message, note, call = generators.Responses.collect(events)["output"]
+    assert message["phase"] == "commentary"
+    assert (note["type"], note["id"], note["call_id"], note["name"], note["input"], note["status"]) == ("custom_tool_call", "ctc_7_1", "call_7_0", "note", "a\n", "completed")
+    assert (call["type"], call["namespace"], call["name"], call["arguments"]) == ("function_call", "box", "open", "{}")
+
+
+def test_idle_streams_end(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame(CHUNKS, processing.CHUNK).filter("seq < 2")
+    df.coalesce(1).write.json(str(tmp_path / "in"))
+    o = Options(parse_tools=True, reasoning="start")
+    stream = spark.readStream.schema(processing.CHUNK).json(str(tmp_path / "in"))
+    q = processing.stream_events(stream, "messages", o, idle_ms=100).writeStream.format("memory").queryName("idle_out").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(processingTime="300 milliseconds").start()
+    want = sorted(map(tuple, processing.to_events(df, "messages", o).collect()), key=lambda r: r[1])
+    until = time.time() + 60
+    while spark.table("idle_out").count() < len(want) and time.time() < until:
+        time.sleep(0.5)
+    q.stop()
+    assert sorted(map(tuple, spark.table("idle_out").collect()), key=lambda r: r[1]) == want
+
+
 def test_stateful_stream_equals_batch(spark, tmp_path):
     o = Options(parse_tools=True, reasoning="start")
     df = spark.createDataFrame(CHUNKS, processing.CHUNK)
