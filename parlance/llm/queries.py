@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprints, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup
+from . import bpe, chat_format, fingerprints, jaccard_join, license_scan, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, sentence_pieces, suffix_dedup, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         jaccard_join.op8_jaccard_join,
         line_dedup.op9_line_dedup,
         chat_format.op10_chat_format,
+        prefix_trie.op11_prefix_trie,
+        sentence_pieces.op12_sentence_pieces,
+        whitening.op13_whitening,
     )
 }
 
@@ -78,4 +81,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (3 + sum(len('<|turn|>') + len(er) + len('<|text|>') + len(et) + len('<|end|>') + 1) + 4)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+    "op11_prefix_trie": r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(s)) AS i, sha256(s) AS g, b
+    FROM (SELECT *, strlen(coalesce(text, '')) AS b, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS s FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT c, list((g, b) ORDER BY i) AS own FROM t GROUP BY c),
+x AS (SELECT c, own, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda a: ascii(a)::BIGINT)),
+    lambda v, a: list_reduce(list_prepend(xor(v, a), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))) AS r FROM o),
+h AS (SELECT c, own, xor(r, 4294967295) % 9 AS h FROM x),
+u AS (SELECT h.c, CASE WHEN h.c = h.c - h.c % 5 THEN h.own ELSE list_concat(coalesce(p.own[1:h.h], []), h.own[h.h + 1:]) END AS s FROM h LEFT JOIN o p ON p.c = h.c - h.c % 5),
+m AS (SELECT c, len(s) AS n, unnest(range(0, len(s) + 1)) AS d, s FROM u),
+k AS (SELECT s[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM m GROUP BY s[1:d], d),
+n AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE k[d][2] END AS b FROM k),
+f AS (SELECT p.k, p.d, count(c.k) AS n_children, any_value(p.conv_id) AS parent_of FROM n p LEFT JOIN n c ON c.d = p.d + 1 AND c.k[1:p.d] = p.k GROUP BY p.k, p.d),
+a AS (SELECT unnest(range(0, n.d + 1)) AS up, n.k, n.d, (n.n_convs - 1) * n.b AS saved, (f.n_children = 0)::BIGINT AS leaf FROM n JOIN f ON f.k = n.k AND f.d = n.d),
+z AS (SELECT k[1:up] AS k, up AS d, sum(saved) AS saved, sum(leaf) AS leaves FROM a GROUP BY k[1:up], up)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.parent_of AS parent_conv_id, n.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, z.leaves::BIGINT AS n_leaves, z.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN f ON f.k = n.k AND f.d = n.d JOIN z ON z.k = n.k AND z.d = n.d LEFT JOIN f p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]""",
 }
