@@ -10,8 +10,9 @@ and of the right token's left edge, each until its own parent is merged. A pair
 with a better score (the leftmost first among equals) than both parents would have been joined. Where scores don't fall
 from the leaves of a tree to its root (runs of spaces have one score in common), the two tokens are merged for real.
 
-Pieces never go on behind a space that follows something else, so a text's words are encoded apart and their ids kept,
-within bounds, for the next time. Characters without a piece become the pieces of their bytes.
+Between two characters that stand side by side in no piece nothing is ever merged, so a text is cut there first; the
+parts, words or less, are encoded apart and their ids kept, within bounds, for the next time. Characters without a piece
+become the pieces of their bytes.
 
 Texts are normalized and ids are turned back by the sentencepiece library; encoding is done here. Edge cases: null texts
 are empty (no ids); a text's control strings (<s>) are ordinary text; repeated rows and null doc_ids are rows of their own;
@@ -23,33 +24,35 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-SPACE = "▁"
-#: Words and pairs that a worker keeps; a word of more characters is not kept.
-KEPT_WORDS, KEPT_PAIRS, LONGEST_KEPT = 1 << 17, 1 << 20, 48
-#: Characters of a text that are cut into words at a time, ids that are decoded at a time.
+#: Parts and pairs that a worker keeps (parts twice, those in use and those before them); a part of more characters is not kept.
+KEPT_PARTS, KEPT_PAIRS, LONGEST_KEPT = 3 << 17, 1 << 20, 48
+#: Characters of a text that are cut into parts at a time, ids that are decoded at a time.
 BLOCK = 1 << 20
 
 
-class _Words(dict):
+class _Parts(dict):
+    """Parts to their ids, packed."""
+
     def __init__(self, encode) -> None:  # noqa: ANN001
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.encode(word)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WORDS:
+    def __missing__(self, part: str) -> bytes:
+        ids = self.before.get(part) or array("I", self.encode(part)).tobytes()
+        if len(part) <= LONGEST_KEPT:
+            if len(self) >= KEPT_PARTS:
+                self.before = dict(self)
                 self.clear()
-            self[word] = ids
+            self[part] = ids
         return ids
 
 
@@ -74,9 +77,14 @@ class Pieces:
         for p, i in self.id.items():
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
-        self.joined = {c for p in self.score for c in p}
-        self.words, self.pairs = _Words(self._word), {}
+        joined = {c: k for k, c in enumerate(sorted({c for p in self.score for c in p}), 1)}
+        self.number = np.zeros(0x110000, dtype=np.uint16)  # of each character; 0 for those that no merge takes in
+        self.number[[ord(c) for c in joined]] = list(joined.values())
+        self.beside = np.zeros((len(joined) + 1, len(joined) + 1), dtype=bool)
+        for p in self.score:
+            for a, b in itertools.pairwise(p):
+                self.beside[joined[a], joined[b]] = True
+        self.parts, self.pairs = _Parts(self._part), {}
 
     @functools.lru_cache(maxsize=1 << 16)  # noqa: B019
     def _tree(self, piece: str) -> tuple[str, str] | None:
@@ -110,11 +118,9 @@ class Pieces:
         return (*edges[side][:-1], (tree[side], self.score[piece]), (piece, math.inf))
 
     def may_follow(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        if (found := self.pairs.get(key)) is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self._may_follow(self.piece[left], self.piece[right])
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left << 32 | right] = self._may_follow(self.piece[left], self.piece[right])
         return found
 
     def _may_follow(self, left: str, right: str) -> bool:
@@ -140,11 +146,15 @@ class Pieces:
         """Characters that all have pieces."""
         if (whole := self.id.get(text)) is not None and self._tree(text) is not None:
             return [whole]
-        last, size, piece = [-1] * len(text), self.size, self.piece
+        last, size, piece, pairs = [-1] * len(text), self.size, self.piece, self.pairs
         for end, p in self.automaton.iter(text):
             if last[end] < 0:
                 start = end + 1 - size[p]
-                if self._tree(piece[p]) is not None if start == 0 else self.may_follow(last[start - 1], p):
+                if start == 0:
+                    fits = self._tree(piece[p]) is not None
+                elif (fits := pairs.get(last[start - 1] << 32 | p)) is None:
+                    fits = self.may_follow(last[start - 1], p)
+                if fits:
                     last[end] = p
         ids, at = [], len(text)
         while at:
@@ -153,7 +163,9 @@ class Pieces:
         ids.reverse()
         return ids
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _part(self, word: str) -> list[int]:
+        if all(map(self.id.__contains__, word)):
+            return self._run(word)
         out: list[int] = []
         for known, run in itertools.groupby(word, self.id.__contains__):
             if known:
@@ -162,23 +174,30 @@ class Pieces:
                 out.extend(self.bytes[b] for c in run for b in c.encode())
             else:
                 out.append(self.sp.unk_id())
-        return tuple(out)
+        return out
 
-    @functools.lru_cache(maxsize=64)  # noqa: B019
-    def _cutter(self, alone: frozenset[str]) -> re.Pattern:
-        """Words, and runs of characters that no piece joins to others."""
-        a = re.escape("".join(sorted(alone)))
-        return re.compile(f"[{a}]|{SPACE}+[^{SPACE}{a}]*|[^{SPACE}{a}]+" if a else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    def _cut(self, text: str) -> Iterator[list[str]]:
+        """A text's parts, a block at a time; what stands behind a block's last cut goes into the next one."""
+        at, size = 0, BLOCK
+        while at < len(text):
+            block = text[at : at + size]
+            number = self.number[np.frombuffer(block.encode("utf-32-le"), dtype=np.uint32)]
+            cuts = (np.flatnonzero(~self.beside[number[:-1], number[1:]]) + 1).tolist()
+            if at + size >= len(text):
+                cuts.append(len(block))
+            elif not cuts:  # a part longer than the block
+                size *= 2
+                continue
+            yield [block[a:b] for a, b in itertools.pairwise([0, *cuts])]
+            at, size = at + cuts[-1], BLOCK
 
     def encode(self, text: str) -> array:
         out = array("I")
-        normal = self.sp.normalize(text)
-        if not self.apart:
-            out.extend(self._word(normal))
+        if not self.fallback:  # characters without a piece that stand side by side are one unknown
+            out.extend(self._part(self.sp.normalize(text)))
             return out
-        cutter = self._cutter(frozenset(set(normal) - self.joined - {SPACE}) if self.fallback else frozenset())
-        found = cutter.findall(normal) if len(normal) <= BLOCK else (m[0] for m in cutter.finditer(normal))
-        out.extend(itertools.chain.from_iterable(map(self.words.__getitem__, found)))
+        for parts in self._cut(self.sp.normalize(text)):
+            out.frombytes(b"".join(map(self.parts.__getitem__, parts)))
         return out
 
     def decode(self, ids: array) -> str:

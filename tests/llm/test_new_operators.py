@@ -110,6 +110,7 @@ def test_pieces_of_long_words_and_blocks(model, monkeypatch):
     for text in ("a" * 200_000, "ab" * 50_000, " " * 100_000, "the quick " * 40_000, "\n" * 3000, "日" * 5000, "é😀" * 3000):
         ids = model.sp.encode(text)
         assert model.encode(text).tolist() == ids
+    monkeypatch.setattr(sentence_pieces, "KEPT_PARTS", 3)
     monkeypatch.setattr(sentence_pieces, "BLOCK", 7)
     for text in ("  leading and\n\nmore 😀😀 words é Ḁ " * 9, " x", "x", ""):
         assert model.encode(text).tolist() == model.sp.encode(text)
