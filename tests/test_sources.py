@@ -1,11 +1,8 @@
 import hashlib
-import json
 import struct
 
 import pytest
 
-from parlance.functions import patch_tool
-from parlance.operators import conversion
 from parlance.plans import catalog
 from parlance.sources import image_sources, readers, tokenizer_file
 from parlance.streaming.custom_input import CustomInput
@@ -66,21 +63,6 @@ def test_sse_and_mock(spark):
     assert frames[0].startswith('data: {"id":"1"') and frames[-1] == "data: [DONE]\n\n" and len(frames) == 5
 
 
-def test_conversion():
-    chat = '{"model":"m","messages":[{"role":"system","content":""},{"role":"user","content":[{"type":"text","text":"a"},{"type":"image_url","image_url":{"url":"http://x"}}]},{"role":"assistant","tool_calls":[{"id":"1","function":{"name":"f","arguments":"{}"}}]},{"role":"tool","tool_call_id":"1","content":"r"}],"tools":[{"type":"function","function":{"name":"f","parameters":{"type":"object"}}}]}'
-    got = conversion.convert_body("chat_completions", chat)
-    assert got["ok"] and [m["role"] for m in got["messages"]] == ["user", "assistant", "tool"] and got["messages"][0]["images"] == ["http://x"] and got["effort"] == "high"
-    for body, words in (('{"model":"m"}', "messages"), ("{", "malformed"), ('{"model":"m","messages":[],"n":2}', "n must"), ('{"model":"m","messages":[{"role":"tool","tool_call_id":"9","content":""}]}', "without a call")):
-        bad = conversion.convert_body("chat_completions", body)
-        assert not bad["ok"] and words in bad["error"]
-    blocks = '{"model":"m","messages":[{"role":"user","content":"hi"},{"role":"assistant","content":[{"type":"thinking","thinking":"t"},{"type":"tool_use","id":"x","name":"f","input":{"b":1.0,"a":2}}]},{"role":"user","content":[{"type":"text","text":"and"},{"type":"tool_result","tool_use_id":"x","content":"r"}]}]}'
-    got = conversion.convert_body("messages", blocks)
-    assert [m["role"] for m in got["messages"]] == ["user", "assistant", "tool", "user"] and got["messages"][1]["calls"][0]["arguments"] == '{"b": 1.0, "a": 2}'
-    items = '{"model":"m","input":[{"role":"developer","content":"d"},{"type":"reasoning","content":[{"text":"r"}]},{"type":"function_call","call_id":"2","name":"g","arguments":"{}"},{"type":"function_call","call_id":"1","name":"f","arguments":"{}"},{"type":"function_call_output","call_id":"2","output":"x"},{"type":"function_call_output","call_id":"1","output":"y"},{"type":"web_search_call"}],"tools":[{"type":"namespace","name":"ns","description":"D","tools":[{"name":"g","parameters":{"type":"object"}}]},{"type":"web_search"}]}'
-    got = conversion.convert_body("responses", items)
-    assert got["ok"] and got["tools"][0]["name"] == "ns::g" and [c["id"] for c in got["messages"][1]["calls"]] == ["1", "2"] and got["messages"][1]["reasoning_content"] == "r"
-
-
 def test_tokenizer_against_library(spark, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
@@ -105,48 +87,6 @@ def test_tokenizer_files_that_are_refused():
             tokenizer_file.split_of(pre)
 
 
-def _said(protocol, **body):
-    return conversion.convert_body(protocol, json.dumps({"model": "m"} | body))
-
-
-def test_requests_that_are_refused():
-    user = {"role": "user", "content": "a"}
-    image = lambda **s: {"role": "user", "content": [{"type": "image", "source": {"type": "base64"} | s}]}
-    for protocol, body, words in (
-        ("chat_completions", {"messages": [{"role": "banana", "content": "a"}]}, "unknown variant `banana`"),
-        ("chat_completions", {"messages": [{"role": "user"}]}, "missing field `content`"),
-        ("chat_completions", {"messages": [{"role": "tool", "content": "a"}]}, "missing field `tool_call_id`"),
-        ("chat_completions", {"messages": [user], "reasoning_effort": "banana"}, "unknown variant `banana`"),
-        ("chat_completions", {"messages": [user], "thinking": {"type": "on"}}, "unknown variant `on`"),
-        ("chat_completions", {"messages": [user], "seed": 2**63}, "seed must be in"),
-        ("chat_completions", {"messages": [user], "max_tokens": 1.5}, "whole number"),
-        ("chat_completions", {"messages": [{"role": "user", "content": [{"type": "video"}]}]}, "unknown variant `video`"),
-        ("messages", {"messages": [{"role": "banana", "content": "a"}]}, "unknown variant `banana`"),
-        ("messages", {"messages": [{"role": "user", "content": []}]}, "non-empty content"),
-        ("messages", {"messages": [{"role": "user", "content": [{"type": "tool_use", "id": "x", "name": "f", "input": {}}]}]}, "can only be in `assistant`"),
-        ("messages", {"messages": [image(media_type="text/plain", data="eHl6")]}, "unsupported image"),
-        ("messages", {"messages": [image(media_type="image/png", data="!!!")]}, "base64 decode error"),
-        ("messages", {"messages": [user], "output_config": {"effort": "none"}}, "unknown variant `none`"),
-        ("messages", {"messages": [user], "tool_choice": {"type": "some"}}, "unknown variant `some`"),
-        ("responses", {"input": [{"role": "banana", "content": "a"}]}, "unknown variant `banana`"),
-        ("responses", {"input": "a", "reasoning": {"effort": "ultra"}}, "unknown variant `ultra`"),
-    ):
-        got = _said(protocol, **body)
-        assert not got["ok"] and words in got["error"], (body, got["error"])
-    assert _said("messages", messages=[image(media_type="IMAGE/JPG; q=1", data="eHl6eQ=")])["messages"][0]["images"] == ["data:image/jpeg;base64,eHl6eQ=="]
-
-
-def test_efforts_usage_and_the_patch_tool():
-    for protocol, key, effort, want in (("chat_completions", "messages", "minimal", "low"), ("chat_completions", "messages", "medium", "high"), ("responses", "input", "xhigh", "xhigh")):
-        more = {"reasoning_effort": effort} if protocol == "chat_completions" else {"reasoning": {"effort": effort}}
-        got = _said(protocol, **{key: [{"role": "user", "content": "a"}]}, **more)
-        assert got["ok"] and (got["thinking"], got["effort"], got["reasoning_start"]) == (True, want, True)
-    asked = lambda **b: _said("chat_completions", messages=[{"role": "user", "content": "a"}], **b)["include_usage"]
-    assert (asked(), asked(stream=True), asked(stream=True, stream_options={"include_usage": True})) == (True, False, True)
-    tool = _said("responses", input="a", tools=[{"type": "custom", "name": "apply_patch", "description": "other"}])["tools"][0]
-    assert tool["description"] == patch_tool.DESCRIPTION and "*** Begin Patch" in tool["description"] and '"additionalProperties": false' in tool["parameters"]
-
-
 def test_data_urls_are_read_as_urls():
     for url in (" DATA:image/png;base64,eHl6", "da\tta:image/png;base64,eHl6"):
         assert image_sources.parse_data_url(url)[0] == "image/png"
