@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Shared, bitmap_of, in_bitmap, table, written
@@ -279,9 +279,14 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[cut], np.diff(np.append(cut, len(starts)))
 
 
+def _text_key(text: Column) -> Column:
+    """A text's name: half its SHA-256."""
+    return F.unhex(F.left(F.sha2(text.cast("binary"), 256), F.lit(32)))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("tk"), text.alias("text"))
+    return docs.select(_text_key(text).alias("tk"), text.alias("text"))
 
 
 def _occurrences(docs: DataFrame, how: Spans) -> DataFrame:
@@ -374,7 +379,7 @@ def _shards(cold: DataFrame, how: Spans) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
-    """(tk, lo, n): for each text (by its MD5) the runs of window starts that start elsewhere too."""
+    """(tk, lo, n): for each text (by its SHA-256) the runs of window starts that start elsewhere too."""
     occ = _occurrences(docs, how)
     found = occ.filter("anchor is not null")
     kinds = written(found.groupBy("anchor", "same").agg(F.count("*").alias("copies"), F.max("windows").alias("windows")))
@@ -396,7 +401,7 @@ def repeated_windows(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
 def removal(docs: DataFrame, how: Spans = Spans()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row."""
     runs = repeated_windows(docs, how).groupBy("tk").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))  # a text's own
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5(F.col("text").cast("binary"))))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", _text_key(F.col("text")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
