@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
-from ..operators import streams
+from ..operators import accumulating, streams
+from ..sources import tokenizer_file
 from ..streaming import processing
 from ..streaming.parser import Options
-from .registry import collector, table
+from .registry import collector, table, tokenizer_path
 
 QUERIES, ORACLES, query = collector()
 _ID = "conv_id * 1000 + turn"
@@ -96,3 +97,25 @@ def chat_delta_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a plain answer: a start, a delta for each chunk, a finish."""
     e = processing.to_events(_chunks(_outputs(spark, sf_dir, F.col("text")), 50), "chat_completions")
     return e.groupBy("stream_id").agg((F.count("*") - 2).alias("n_deltas"))
+
+
+@query(f"""WITH c AS (SELECT {_ID} AS stream_id, conv_id % 5 AS k, text, (len(text) + 49) // 50 AS n FROM conversations)
+  SELECT stream_id, CASE WHEN 4 + k >= n + 8 THEN 'completed' ELSE 'in_progress' END AS stream_status, 0::BIGINT AS output_index, 'message' AS kind, CASE WHEN 4 + k >= n + 7 THEN 'completed' ELSE 'in_progress' END AS status, ltrim(left(text, 50 * k), chr(10)) AS answer FROM c""")
+def accumulate_cut_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that break off behind their first deltas: the items so far."""
+    e = processing.to_events(_chunks(_outputs(spark, sf_dir, F.col("text")), 50), "responses").filter(F.expr("event_seq < 4 + (stream_id div 1000) % 5"))
+    return accumulating.accumulated_items(e).select("stream_id", "stream_status", "output_index", "kind", "status", F.col("text").alias("answer"))
+
+
+if tokenizer_path():
+
+    @query(f"SELECT {_ID} AS stream_id, ltrim(text, chr(10)) || ' 世界x' || CASE WHEN conv_id % 3 = 0 THEN '' ELSE '😀' END AS answer FROM conversations")
+    def token_stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Texts as token ids, one a chunk, and back through the stream; some lack the last id, so their last code point never gets whole."""
+        out = _outputs(spark, sf_dir, F.concat("text", F.lit(" 世界x😀")))
+        ids = tokenizer_file.encode(out, "stream_id", "output", tokenizer_file.Tokenizer.load(tokenizer_path()))
+        cut = F.when(F.expr("(stream_id div 1000) % 3 = 0"), F.slice("ids", F.lit(1), F.size("ids") - 1)).otherwise(F.col("ids"))
+        one = ids.select("stream_id", F.posexplode(cut).alias("seq", "token_id"))
+        rest = {n: k for n, k in (x.split() for x in processing.CHUNK.split(", ")) if n not in ("stream_id", "seq", "kind")}
+        chunks = one.select("stream_id", F.col("seq").cast("bigint").alias("seq"), F.lit("token").alias("kind"), *(F.lit(None).cast(k).alias(n) for n, k in rest.items()), F.col("token_id").cast("bigint").alias("token_id"))
+        return processing.to_responses(chunks, "messages", tokenizer=tokenizer_path()).select("stream_id", _json("$.content[0].text").alias("answer"))

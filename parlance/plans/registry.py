@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,14 @@ def collector() -> tuple[dict, dict, Callable]:
         return add
 
     return queries, oracles, query
+
+
+def tokenizer_path() -> str | None:
+    """The vocabulary is an input: $PARLANCE_TOKENIZER, else a public file where one is installed."""
+    if path := os.environ.get("PARLANCE_TOKENIZER"):
+        return path
+    try:
+        import public_tokenizers
+    except ImportError:
+        return None
+    return public_tokenizers.path("byte_bpe_50k.json")

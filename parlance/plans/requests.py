@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..operators import conversion, rendering
 from ..sources import tokenizer_file
-from .registry import collector, table
+from .registry import collector, table, tokenizer_path
 
 QUERIES, ORACLES, query = collector()
 
@@ -116,17 +114,6 @@ for _p in conversion.CONVERTERS:
     _convert(_p)
 
 
-def tokenizer_path() -> str | None:
-    """The vocabulary is an input: $PARLANCE_TOKENIZER, else a public file where one is installed."""
-    if path := os.environ.get("PARLANCE_TOKENIZER"):
-        return path
-    try:
-        import public_tokenizers
-    except ImportError:
-        return None
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 if tokenizer_path():
 
     @query("SELECT doc_id, true AS same FROM documents")

@@ -93,15 +93,17 @@ class Tokenizer:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [self.vocab[p] for p in parts if p is not None and p in self.vocab]
 
+    def token_bytes(self, i: int, skip_special: bool = False) -> bytes:
+        """What an id stands for; nothing if it is unknown. A token with a letter that is no byte's stands for itself."""
+        if i in self.plain:
+            return b"" if skip_special and self.plain[i] in self.special else self.plain[i].encode()
+        if i not in self.token:
+            return b""
+        t = self.token[i]
+        return bytes(BYTE[c] for c in t) if all(c in BYTE for c in t) else t.encode()
+
     def decode(self, ids: list[int], skip_special: bool = False) -> str:
-        out = b""
-        for i in ids:
-            if i in self.plain:
-                out += b"" if skip_special and self.plain[i] in self.special else self.plain[i].encode()
-            elif i in self.token:
-                t = self.token[i]
-                out += bytes(BYTE[c] for c in t) if all(c in BYTE for c in t) else t.encode()
-        return out.decode("utf-8", "replace")
+        return b"".join(self.token_bytes(i, skip_special) for i in ids).decode("utf-8", "replace")
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
         """vocabulary (token, id), merges (rank, left, right), added tokens (id, content, special)."""

@@ -1,4 +1,4 @@
-"""Parsed pieces to protocol events, and events to complete responses, for three dialects.
+"""Parsed pieces to protocol events for three dialects; folds.py puts events together again.
 
 An event is (name or None, body as a dict in wire order). `created` is a parameter: it is the only thing in the
 output that would differ between runs."""
@@ -55,27 +55,6 @@ class Chat:
         usage = {"prompt_tokens": u.prompt, "completion_tokens": u.completion, "total_tokens": u.prompt + u.completion, "prompt_tokens_details": {"cached_tokens": u.hit}, "prompt_cache_hit_tokens": u.hit, "prompt_cache_miss_tokens": max(0, u.prompt - u.hit)}
         return self._chunk(self._text(""), FINISH["chat_completions"][reason], usage)
 
-    @staticmethod
-    def collect(events: list[Event]) -> dict:
-        """Usage and reason: the last; fingerprint: the first; texts and arguments: joined."""
-        out: dict[str, Any] = {"content": None, "reasoning_content": None, "tool_calls": []}
-        usage = reason = fingerprint = None
-        for _, e in events:
-            usage, fingerprint = e.get("usage") or usage, fingerprint or e["system_fingerprint"]
-            choice = e["choices"][0]
-            reason = choice["finish_reason"] or reason
-            for k in ("content", "reasoning_content"):
-                if choice["delta"].get(k) is not None:
-                    out[k] = (out[k] or "") + choice["delta"][k]
-            for call in choice["delta"].get("tool_calls", ()):
-                if "id" in call:
-                    out["tool_calls"].append({"id": call["id"], "type": "function", "function": dict(call["function"])})
-                elif call["index"] < len(out["tool_calls"]):
-                    out["tool_calls"][call["index"]]["function"]["arguments"] += call["function"]["arguments"]
-        message = {"role": "assistant"} | {k: v for k, v in out.items() if v or k == "content"}
-        first = events[0][1]
-        return {"id": first["id"], "object": "chat.completion", "created": first["created"], "model": first["model"], "system_fingerprint": fingerprint, "choices": [{"index": 0, "message": message, "logprobs": None, "finish_reason": reason}], "usage": usage}
-
 
 class Messages:
     """Content blocks that start, grow and stop."""
@@ -125,31 +104,6 @@ class Messages:
     def finish(self, reason: str, stop: str | None, u: Usage) -> list[Event]:
         return [*self._close(), self._event("message_delta", delta={"stop_reason": FINISH["messages"][reason], "stop_sequence": stop}, usage=self._usage(u, u.completion)), self._event("message_stop")]
 
-    @staticmethod
-    def collect(events: list[Event]) -> dict:
-        message: dict[str, Any] = {}
-        parts: dict[int, str] = {}
-        for kind, e in events:
-            if kind == "message_start":
-                message = dict(e["message"], content=[])
-            elif kind == "content_block_start":
-                message["content"].append(dict(e["content_block"]))
-            elif kind == "content_block_delta":
-                block, d = message["content"][e["index"]], e["delta"]
-                if d["type"] == "input_json_delta":
-                    parts[e["index"]] = parts.get(e["index"], "") + d["partial_json"]
-                else:
-                    field = d["type"].removesuffix("_delta")
-                    block[field] += d[field]
-            elif kind == "content_block_stop" and e["index"] in parts:
-                try:
-                    message["content"][e["index"]]["input"] = J.parse(parts[e["index"]])
-                except ValueError:
-                    message["content"][e["index"]]["input"] = {}
-            elif kind == "message_delta":
-                message |= e["delta"] | {"usage": e["usage"]}
-        return message
-
 
 class Responses:
     """Output items with parts; every event carries a sequence number."""
@@ -244,14 +198,6 @@ class Responses:
         why = {"length": "max_output_tokens", "content_filter": "content_filter"}.get(reason)
         return [*out, self._event(status, response=self._response(status, usage, why))]
 
-    @staticmethod
-    def collect(events: list[Event]) -> dict:
-        """The last event that carries a whole response holds everything before it; of a stream that breaks off, items
-        that ended since come along."""
-        at, whole = next(((i, e["response"]) for i, (_, e) in reversed(list(enumerate(events))) if "response" in e), (-1, {"object": "response", "status": "in_progress", "output": []}))
-        since = [e["item"] for _, e in events[at + 1 :] if "item" in e and str(e.get("type", "")).endswith("output_item.done")]
-        return whole | {"output": [*whole.get("output", []), *since]} if since else whole
-
 
 DIALECTS = {"chat_completions": Chat, "messages": Messages, "responses": Responses}
 

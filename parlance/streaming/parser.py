@@ -26,6 +26,8 @@ class Options:
     reasoning: str | None = None  # start, reasoning, content
     stops: tuple[str, ...] = ()
     custom_tools: tuple[str, ...] = ()  # tools whose input is free text; only the responses dialect tells them apart
+    namespaces: tuple[tuple[str, str, str], ...] = ()  # flat name, namespace, name within it
+    include_usage: bool = True  # chat completions: whether chunks before the last have a usage field
 
 
 @dataclass(frozen=True)

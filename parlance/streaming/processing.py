@@ -1,10 +1,13 @@
 """Chunks to events: one class for batch and Structured Streaming.
 
-Chunks: stream_id, seq, kind (ready, text, finish), content, content_tokens, prompt_tokens, prompt_cache_hit_tokens,
-system_fingerprint, finish_reason. Within a stream, order is seq; a seq that was seen is dropped."""
+Chunks: stream_id, seq, kind (ready, text, token, finish), content, content_tokens, prompt_tokens, prompt_cache_hit_tokens,
+system_fingerprint, finish_reason; with token chunks also token_id, and with requests also request (see with_requests).
+Within a stream, order is seq; a seq that was seen is dropped."""
 
 from __future__ import annotations
 
+import functools
+import json
 import pickle
 from collections.abc import Iterator
 from typing import Any
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import jsontext as J
+from ..sources.tokenizer_file import Tokenizer
+from .folds import FOLDS, Fold
 from .generators import DIALECTS, Event, Usage
 from .parser import Options, Parser
 
@@ -22,12 +27,50 @@ CHUNK = "stream_id bigint, seq bigint, kind string, content string, content_toke
 EVENT = "stream_id bigint, event_seq bigint, event_name string, data string"
 
 
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.load(path)
+
+
+class TokenDecoder:
+    """Token ids to text as soon as it is whole: bytes of an unfinished code point wait for the next ids.
+
+    Only the last bytes are looked at after each id, so a run that never gets whole stays linear; what is left at the end is dropped."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.waiting, self.ids = path, b"", 0
+
+    def push(self, token_id: int) -> tuple[str, int] | None:
+        """Text and the number of ids it took, or nothing yet."""
+        self.waiting += _tokenizer(self.path).token_bytes(token_id)
+        self.ids += 1
+        if not self.waiting or self.waiting[-8:].decode("utf-8", "replace").endswith("\ufffd"):
+            return None
+        out = self.waiting.decode("utf-8", "replace"), self.ids
+        self.waiting, self.ids = b"", 0
+        return out
+
+
+def _asked(request: str) -> Options:
+    """The options in a chunk's request."""
+    r = json.loads(request)
+    spaces = tuple((flat, x["namespace"], x["name"]) for flat, x in (r.get("namespaces") or {}).items())
+    return Options(bool(r.get("parse_tools")), bool(r.get("json_output")), bool(r.get("in_tools")), r.get("reasoning"), tuple(r.get("stops") or ()), tuple(r.get("custom_tools") or ()), spaces, bool(r.get("include_usage", True)))
+
+
 class Processor:
-    def __init__(self, stream_id: Any, dialect: str, options: Options, model: str = "model") -> None:
-        self.parser = Parser(options)
-        self.generator = DIALECTS[dialect](str(stream_id), model, (options.reasoning or "content") in ("start", "reasoning"), **({"custom": frozenset(options.custom_tools)} if dialect == "responses" else {}))
+    def __init__(self, stream_id: Any, dialect: str, options: Options, model: str = "model", tokenizer: str | None = None) -> None:
+        self.id, self.dialect, self.model = str(stream_id), dialect, model
+        self.decoder = TokenDecoder(tokenizer) if tokenizer else None
+        self._set(options)
         self.usage, self.started, self.done, self.last_seq, self.n = Usage(), False, False, None, 0
 
+    def _set(self, o: Options) -> None:
+        self.parser = Parser(o)
+        more = {"custom": frozenset(o.custom_tools), "namespaces": {flat: (space, name) for flat, space, name in o.namespaces}} if self.dialect == "responses" else {}
+        more |= {"include_usage": o.include_usage} if self.dialect == "chat_completions" else {}
+        self.generator = DIALECTS[self.dialect](self.id, self.model, (o.reasoning or "content") in ("start", "reasoning"), **more)
+
     def _begin(self, fingerprint: str | None = None) -> list[Event]:
         if self.started:
             return []
@@ -41,15 +84,26 @@ class Processor:
         if self.done or (self.last_seq is not None and chunk["seq"] <= self.last_seq):
             return []
         self.last_seq = chunk["seq"]
+        if not self.started and chunk.get("request"):
+            self._set(_asked(chunk["request"]))
         if chunk["kind"] == "ready":
             if not self.started:
                 self.usage.prompt, self.usage.hit = int(chunk["prompt_tokens"] or 0), int(chunk["prompt_cache_hit_tokens"] or 0)
             return self._begin(chunk["system_fingerprint"])
         if chunk["kind"] == "finish":
             return self.end(chunk["finish_reason"] or "stop")
+        content, tokens = chunk["content"] or "", int(chunk["content_tokens"] or 0)
+        if chunk["kind"] == "token":
+            if self.decoder is None:
+                self.done = True
+                return [("error", {"error": {"message": "a token chunk needs a tokenizer", "type": "internal_error", "param": None, "code": None}})]
+            whole = None if chunk["token_id"] is None else self.decoder.push(int(chunk["token_id"]))
+            if whole is None:
+                return []
+            content, tokens = whole
         out = self._begin()
-        self.usage.completion += int(chunk["content_tokens"] or 0)
-        out += self._pieces(self.parser.feed(chunk["content"] or ""))
+        self.usage.completion += tokens
+        out += self._pieces(self.parser.feed(content))
         return out + (self.end() if self.parser.stop is not None else [])
 
     def end(self, backend: str | None = None) -> list[Event]:
@@ -70,34 +124,118 @@ def _chunks(pdf: pd.DataFrame) -> list[dict]:
     return ordered.astype(object).where(ordered.notna(), None).to_dict("records")
 
 
-def to_events(chunks: DataFrame, dialect: str, options: Options = Options(), model: str = "model") -> DataFrame:
+def with_requests(chunks: DataFrame, converted: DataFrame, key: str = "stream_id") -> DataFrame:
+    """Chunks with what their requests ask for (rows of conversion.convert, by `key`) on each stream's ready chunk: how
+    its output is parsed, and the names that its tools had in the request."""
+    fields = {"parse_tools": "parse_tools", "json_output": "json_output", "in_tools": "tools_first", "stops": "stops", "custom_tools": "custom_tools", "namespaces": "namespaces", "include_usage": "include_usage"}
+    asked = F.to_json(F.struct(*(F.col(c).alias(k) for k, c in fields.items()), F.when(F.col("reasoning_start"), "start").alias("reasoning")))
+    requests = converted.filter("ok").select(F.col(key).alias("stream_id"), F.lit("ready").alias("kind"), asked.alias("request"))
+    return chunks.drop("request").join(requests, ["stream_id", "kind"], "left")
+
+
+def to_events(chunks: DataFrame, dialect: str, options: Options = Options(), model: str = "model", tokenizer: str | None = None) -> DataFrame:
     """Batch: the events of all streams; a stream that has no finish chunk ends with its source."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = Processor(key[0], dialect, options, model)
+        p = Processor(key[0], dialect, options, model, tokenizer)
         events = [e for c in _chunks(pdf) for e in p.push(c)]
         return pd.DataFrame(p.rows(key[0], events + p.end()), columns=["stream_id", "event_seq", "event_name", "data"])
 
     return chunks.groupBy("stream_id").applyInPandas(one, EVENT)
 
 
-def to_responses(chunks: DataFrame, dialect: str, options: Options = Options(), model: str = "model") -> DataFrame:
-    """Batch: (stream_id, response JSON, its text, its reasoning, its tool calls as JSON, finish reason)."""
+RESPONSE = "stream_id bigint, response string"
+
+
+def to_responses(chunks: DataFrame, dialect: str, options: Options = Options(), model: str = "model", tokenizer: str | None = None) -> DataFrame:
+    """Batch: (stream_id, response JSON); events are folded as they are made."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = Processor(key[0], dialect, options, model)
-        events = [e for c in _chunks(pdf) for e in p.push(c)]
-        events += p.end()
-        return pd.DataFrame([(key[0], J.compact(DIALECTS[dialect].collect(events)))], columns=["stream_id", "response"])
+        p, fold = Processor(key[0], dialect, options, model, tokenizer), FOLDS[dialect]()
+        for c in _chunks(pdf):
+            for _, e in p.push(c):
+                fold.append(e)
+        for _, e in p.end():
+            fold.append(e)
+        return pd.DataFrame([(key[0], J.compact(fold.response(fold.taken())))], columns=["stream_id", "response"])
+
+    return chunks.groupBy("stream_id").applyInPandas(one, RESPONSE)
+
+
+def accumulate(events: DataFrame, dialect: str) -> DataFrame:
+    """Batch: rows (stream_id, event_seq, event_name, data) to (stream_id, response JSON), wherever a stream breaks off."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fold = FOLDS[dialect]()
+        for data in pdf.sort_values("event_seq", kind="stable").drop_duplicates("event_seq")["data"]:
+            fold.append(json.loads(data))
+        return pd.DataFrame([(key[0], J.compact(fold.response(fold.taken())))], columns=["stream_id", "response"])
+
+    return events.groupBy("stream_id").applyInPandas(one, RESPONSE)
+
+
+class _Appending(StatefulProcessor):
+    """State: a fold's head with the last event's number, and a list of text pieces to which each micro-batch appends."""
+
+    def __init__(self, dialect: str, idle_ms: int | None) -> None:
+        self.dialect, self.idle_ms = dialect, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "head string, last bigint, timer bigint")
+        self.pieces = handle.getListState("pieces", "place string, text string, anew boolean")
+        self.ended = handle.getValueState("ended", "ended boolean", *([3 * self.idle_ms] if self.idle_ms else []))
+
+    def _finished(self, key: Any, fold: Fold) -> pd.DataFrame:
+        whole = fold.response([(p[0], p[1], p[2]) for p in self.pieces.get()])
+        self.head.clear()
+        self.pieces.clear()
+        self.ended.update((True,))
+        return pd.DataFrame([(key[0], J.compact(whole))], columns=["stream_id", "response"])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self.ended.exists():
+            return
+        held, last, timer = self.head.get() if self.head.exists() else (None, -1, 0)
+        fold, over = FOLDS[self.dialect](json.loads(held) if held else None), False
+        pdf = pd.concat(list(rows)).sort_values("event_seq", kind="stable")
+        for seq, data in zip(pdf["event_seq"], pdf["data"], strict=True):
+            if seq > last and not over:
+                event, last = json.loads(data), int(seq)
+                fold.append(event)
+                over = fold.over(event)
+        if new := fold.taken():
+            self.pieces.appendList(new)
+        if timer:
+            self.handle.deleteTimer(timer)
+        if over:
+            yield self._finished(key, fold)
+            return
+        if self.idle_ms:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.head.update((J.compact(fold.head), last, timer))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.head.exists():
+            yield self._finished(key, FOLDS[self.dialect](json.loads(self.head.get()[0])))
+
+    def close(self) -> None:
+        pass
+
 
-    return chunks.groupBy("stream_id").applyInPandas(one, "stream_id bigint, response string")
+def append_events(events: DataFrame, dialect: str, idle_ms: int | None = None) -> DataFrame:
+    """Structured Streaming: events folded over micro-batches into (stream_id, response), one row a stream when its last
+    event has come (with `idle_ms`, also when none has come for so long). Events of a stream must arrive in order between
+    micro-batches; one that was seen is dropped."""
+    return events.groupBy("stream_id").transformWithStateInPandas(_Appending(dialect, idle_ms), RESPONSE, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 class _Stateful(StatefulProcessor):
     """State: the pickled parser and its timer; of an ended stream a mark that expires, so that late chunks are known as such."""
 
-    def __init__(self, dialect: str, options: Options, model: str, idle_ms: int | None) -> None:
-        self.how, self.idle_ms = (dialect, options, model), idle_ms
+    def __init__(self, dialect: str, options: Options, model: str, idle_ms: int | None, tokenizer: str | None) -> None:
+        self.how, self.idle_ms = (dialect, options, model, tokenizer), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("parser", "state binary, timer bigint")
@@ -137,13 +275,13 @@ class _Stateful(StatefulProcessor):
         pass
 
 
-def stream_events(chunks: DataFrame, dialect: str, options: Options = Options(), model: str = "model", idle_ms: int | None = None) -> DataFrame:
+def stream_events(chunks: DataFrame, dialect: str, options: Options = Options(), model: str = "model", idle_ms: int | None = None, tokenizer: str | None = None) -> DataFrame:
     """Structured Streaming: the same parser as state of its stream (RocksDB state store).
 
     An ended stream's parser goes at once, and a mark stays by which later chunks are dropped. With `idle_ms`, a stream
     without chunks for so long ends there, as if its source had, and marks go after three times as long. That needs
     processing time, under which a query triggered by availableNow always has another batch to run: leave it out there."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(_Stateful(dialect, options, model, idle_ms), EVENT, "Append", "ProcessingTime" if idle_ms else "None")
+    return chunks.groupBy("stream_id").transformWithStateInPandas(_Stateful(dialect, options, model, idle_ms, tokenizer), EVENT, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def decode_output(df: DataFrame, dialect: str, options: Options = Options()) -> DataFrame:

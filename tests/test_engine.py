@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import images, jsontext, text
 from parlance.functions import tokens as T
 from parlance.operators import rendering, requests, tool_calls
-from parlance.streaming import generators, processing
+from parlance.streaming import folds, generators, processing
 from parlance.streaming.parser import Options, Parser
 
 M = "conv_id bigint, idx bigint, role string, content string, reasoning_content string, call_ids array<string>, tool_call_id string"
@@ -149,7 +149,7 @@ def test_custom_tools_and_namespaces():
     names = [n for n, _ in events]
     assert names.count("response.custom_tool_call_input.delta") == 2 and names.count("response.custom_tool_call_input.done") == 1
     assert [e["sequence_number"] for _, e in events] == list(range(len(events)))
-    message, note, call = generators.Responses.collect(events)["output"]
+    message, note, call = folds.collect("responses", [e for _, e in events])["output"]
     assert message["phase"] == "commentary"
     assert (note["type"], note["id"], note["call_id"], note["name"], note["input"], note["status"]) == ("custom_tool_call", "ctc_7_1", "call_7_0", "note", "a\n", "completed")
     assert (call["type"], call["namespace"], call["name"], call["arguments"]) == ("function_call", "box", "open", "{}")
