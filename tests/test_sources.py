@@ -1,4 +1,5 @@
 import hashlib
+import json
 import struct
 
 import pytest
@@ -75,16 +76,81 @@ def test_tokenizer_against_library(spark, tmp_path):
     rows = [(2, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[3]), (5, texts[4])]
     got = tokenizer_file.encode(spark.createDataFrame(rows, "k bigint, t string"), "k", "t", ours).collect()
     want = [(k, theirs.encode(t or "", add_special_tokens=False).ids) for k, t in rows]
-    assert sorted(((r["k"], r["ids"] or []) for r in got), key=str) == sorted(want, key=str)
+    assert sorted(((r["k"], r["ids"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def _spec(**more):
+    splits = [{"type": "Split", "pattern": {"Regex": p}, "behavior": "Isolated", "invert": False} for p in tokenizer_file.PATTERNS]
+    pre = {"type": "Sequence", "pretokenizers": [*splits, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    vocab = {c: i for i, c in enumerate(tokenizer_file.LETTER.values())}
+    merges = ["Ġ t", "h e", "Ġt he", "l l", "1 2"]
+    vocab |= {m.replace(" ", ""): 256 + i for i, m in enumerate(merges)}
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": merges}
+    decoder = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    return {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": pre, "post_processor": None, "decoder": decoder, "model": model} | more
+
+
+def _added(content, id_, **flags):
+    return {"id": id_, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False} | flags
 
 
 def test_tokenizer_files_that_are_refused():
-    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
-    split = {"type": "Split", "pattern": {"Regex": "x"}, "behavior": "Isolated", "invert": False}
-    assert tokenizer_file.split_of({"type": "Sequence", "pretokenizers": [split, split, split, level]}) == "three"
-    for pre in (None, {"type": "Whitespace"}, level, level | {"use_regex": True, "add_prefix_space": True}, {"type": "Sequence", "pretokenizers": [split, level]}, {"type": "Sequence", "pretokenizers": [split, split, split | {"invert": True}, level]}):
-        with pytest.raises(ValueError):
-            tokenizer_file.split_of(pre)
+    spec = _spec()
+    tokenizer_file.Tokenizer.of(spec)
+    steps = spec["pre_tokenizer"]["pretokenizers"]
+    sequence = lambda *s: {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [*s]}}
+    other = steps[0] | {"pattern": {"Regex": "zzz"}}
+    for change in (
+        {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": steps[3]}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, sequence(*steps[1:]), sequence(other, *steps[1:]), sequence(steps[1], steps[0], *steps[2:]),
+        sequence(steps[0] | {"invert": True}, *steps[1:]), sequence(steps[0] | {"behavior": "Removed"}, *steps[1:]), sequence(steps[0] | {"pattern": {"String": tokenizer_file.PATTERNS[0]}}, *steps[1:]), sequence(*steps[:3], steps[3] | {"use_regex": True}), sequence(*steps[:3], {"type": "Metaspace"}),
+        {"normalizer": {"type": "NFC"}}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}]}}, {"post_processor": {"type": "TemplateProcessing"}}, {"decoder": {"type": "WordPiece"}},
+        *({"model": spec["model"] | m} for m in ({"type": "Unigram"}, {"dropout": 0.1}, {"ignore_merges": True}, {"unk_token": "nowhere"}, {"merges": ["q q"]}, {"merges": [["zz", "a"]]})),
+    ):
+        with pytest.raises(ValueError, match="unsupported tokenizer"):
+            tokenizer_file.Tokenizer.of(spec | change)
+    tokenizer_file.Tokenizer.of(spec | {"normalizer": {"type": "Sequence", "normalizers": []}, "post_processor": {"type": "ByteLevel"}, "decoder": None, "model": spec["model"] | {"dropout": 0.0}})
+
+
+TEXTS = ["the llama 1234 the", " the<a>the", "x <a>  <b> y", "<a><ab><abc>", "no nose no", "no.no _no no1", "\t<b>\n<b> ", "日本 the日本語テスト 12345", "it's (ok) !ab", "", "  ", "<ab", "a<s>b", "NO<a>no", None]
+
+
+@pytest.mark.parametrize("change", [
+    {}, {"added_tokens": [_added("<a>", 261), _added("<ab>", 262), _added("<abc>", 263), _added("<ab", 264)]}, {"added_tokens": [_added("<b>", 261, lstrip=True), _added("<a>", 262, rstrip=True), _added("no", 263, single_word=True)]},
+    {"added_tokens": [_added("no", 261, normalized=True), _added("no nose", 262, normalized=True), _added("nose", 263), _added("<s>", 264, special=True), _added(" <a> ", 265, normalized=True, lstrip=True, rstrip=True)]},
+    {"prefix_space": True}, {"model": {"unk_token": "<u>", "fuse_unk": True}, "drop": "the日"}, {"model": {"unk_token": "<u>"}, "drop": "aox"}, {"drop": "al"}, {"model": {"byte_fallback": True}, "drop": "ae", "bytes": True}, {"model": {"end_of_word_suffix": "</w>"}, "ends": True}, {"model": {"continuing_subword_prefix": "##"}, "inner": True},
+])
+def test_tokenizer_options_against_the_library(spark, tmp_path, change):
+    """Files with three splits: added tokens with their flags, unknown letters, byte fallback, word ends, inner prefixes."""
+    tokenizers = pytest.importorskip("tokenizers")
+    spec = _spec(added_tokens=change.get("added_tokens", []))
+    vocab = spec["model"]["vocab"]
+    if change.get("prefix_space"):
+        spec["pre_tokenizer"]["pretokenizers"][3]["add_prefix_space"] = True
+    spec["model"] |= change.get("model", {})
+    if "<u>" in (spec["model"]["unk_token"] or ""):
+        vocab["<u>"] = 290
+    if change.get("bytes"):
+        vocab |= {f"<0x{b:02X}>": 400 + b for b in range(256)}
+    if change.get("ends"):
+        vocab |= {f"{c}</w>": 700 + i for i, c in enumerate(tokenizer_file.LETTER.values())}
+        vocab["he</w>"], spec["model"]["merges"] = 999, [*spec["model"]["merges"], "h e</w>"]
+    if change.get("inner"):
+        vocab |= {f"##{c}": 700 + i for i, c in enumerate(tokenizer_file.LETTER.values())}
+        vocab |= {"##he": 1000, "l##l": 1001}
+        spec["model"]["merges"] = ["##h ##e", "l ##l"]
+        vocab["ll"] = vocab.pop("ll", 259)
+    for c in change.get("drop", "").encode():
+        vocab.pop(tokenizer_file.LETTER[c], None)
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if all(x in vocab for x in m.split(" "))]
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    ours, theirs = tokenizer_file.Tokenizer.load(str(path)), tokenizers.Tokenizer.from_file(str(path))
+    got = tokenizer_file.encode(spark.createDataFrame(list(enumerate(TEXTS)), "k int, t string").repartition(2), "k", "t", ours).collect()
+    assert {r["k"]: r["ids"] for r in got} == {k: theirs.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(TEXTS)}
+    for t in TEXTS:
+        ids = theirs.encode(t or "", add_special_tokens=False).ids
+        if not change.get("ends") and not change.get("inner") and not change.get("bytes"):
+            assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
 def test_data_urls_are_read_as_urls():
