@@ -89,10 +89,36 @@ def media_type(name: Column) -> Column:
     return F.when(m.isin(*MEDIA_TYPES), m)
 
 
+#: First bytes, in hexadecimal, of image files and their media types; brands of files that begin with a box.
+MAGIC = {
+    "89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "474946383761": "image/gif", "474946383961": "image/gif", "424D": "image/bmp", "49492A00": "image/tiff", "4D4D002A": "image/tiff", "00000100": "image/vnd.microsoft.icon",
+    "00000200": "image/vnd.microsoft.icon", "716F6966": "image/qoi", "44445320": "image/vnd-ms.dds", "38425053": "image/vnd.adobe.photoshop", "6661726266656C64": "image/x-farbfeld", "762F3101": "image/x-exr",
+    "233F52414449414E4345": "image/vnd.radiance", "233F52474245": "image/vnd.radiance", "FF0A": "image/jxl",
+}
+AVIF, HEIF = ("avif", "avis"), ("heic", "heix", "hevc", "hevx", "heim", "heis", "hevm", "hevs", "mif1", "msf1")
+TGA_TAIL = "TRUEVISION-XFILE."
+
+
+def sniff_any(data: Column) -> Column:
+    """The media type that the bytes of a BINARY column show, accepted or not; null if they show none."""
+    head, brand = F.hex(F.substring(data, 1, 16)), F.decode(F.substring(data, 9, 4), "ISO-8859-1")
+    out = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+    for first, kind in MAGIC.items():
+        out = out.when(head.startswith(first), kind)
+    box = F.substring(head, 9, 8) == "66747970"
+    tail = F.decode(F.substring(data, -26, 26), "ISO-8859-1")
+    return out.when(box & brand.isin(*AVIF), "image/avif").when(box & brand.isin(*HEIF), "image/heif").when((F.length(data) >= 26) & tail.contains(TGA_TAIL), "image/x-tga")
+
+
 def sniff(data: Column) -> Column:
-    """The media type that the first bytes of a BINARY column show; null if it isn't accepted."""
-    head = F.hex(F.substring(data, 1, 16))
-    return F.when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("89504E470D0A1A0A"), "image/png").when(head.startswith("474946383761") | head.startswith("474946383961"), "image/gif").when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+    """The media type that the bytes of a BINARY column show; null if it isn't accepted."""
+    kind = sniff_any(data)
+    return F.when(kind.isin(*MEDIA_TYPES), kind)
+
+
+def is_valid(width: Column, height: Column, n_images: Column) -> Column:
+    """Whether an image has an area and no side beyond what a request of so many images may show."""
+    return (width > 0) & (height > 0) & (F.greatest(width, height) <= max_side(n_images))
 
 
 def source_kind(url: Column) -> Column:

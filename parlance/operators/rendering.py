@@ -1,8 +1,8 @@
 """Prompt rendering: normalized messages to one prompt a conversation, native.
 
 Messages: conv_id, idx, role (system, user, assistant, tool, latest_reminder), content, reasoning_content, tool_calls
-(already rendered text, or null), call_ids (of an assistant), tool_call_id. One exchange on conv_id serves all
-windows and the final aggregate."""
+(already rendered text, or null), call_ids (of an assistant), tool_call_id, images (sources in the order of their
+placeholders). One exchange on conv_id serves all windows and aggregates."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 
-COLUMNS = {"reasoning_content": "string", "tool_calls": "string", "call_ids": "array<string>", "tool_call_id": "string"}
+COLUMNS = {"reasoning_content": "string", "tool_calls": "string", "call_ids": "array<string>", "tool_call_id": "string", "images": "array<struct<kind:string,url:string,detail:string>>"}
 
 
 def messages(df: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def merge_runs(df: DataFrame, role: str = "user", separator: str = "\n\n") -> Da
     run = df.withColumn("_run", F.sum(starts.cast("int")).over(w))
     first = lambda c: F.min_by(c, "idx").alias(c)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "content"))), lambda x: x["content"]), separator)
-    return run.groupBy("conv_id", "_run").agg(F.min("idx").alias("idx"), first("role"), text.alias("content"), *(first(c) for c in COLUMNS)).drop("_run")
+    shown = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "images"))), lambda x: F.coalesce(x["images"], F.array().cast(COLUMNS["images"]))))
+    return run.groupBy("conv_id", "_run").agg(F.min("idx").alias("idx"), first("role"), text.alias("content"), *(shown.alias(c) if c == "images" else first(c) for c in COLUMNS)).drop("_run")
 
 
 def normalize_systems(df: DataFrame) -> DataFrame:
@@ -59,11 +60,11 @@ def order_tool_results(df: DataFrame) -> DataFrame:
     df = df.withColumn("_run", F.sum((~inside).cast("int")).over(w)).withColumn("_tool", F.col("role") == "tool")
     rank = F.greatest(F.coalesce(F.array_position("_calls", F.col("tool_call_id")), F.lit(0)) - 1, F.lit(0))
     df = df.withColumn("_rank", F.when(F.col("_tool"), rank))
-    group = Window.partitionBy("conv_id", "_run", "_tool")
-    df = df.withColumn("_slot", F.row_number().over(group.orderBy("idx"))).withColumn("_at", F.row_number().over(group.orderBy("_rank", "idx")))
-    slots = F.collect_list(F.struct("_slot", "idx")).over(group)
-    place = F.array_sort(slots)[F.col("_at") - 1]["idx"]
-    return df.withColumn("idx", F.when(F.col("_tool"), place).otherwise(F.col("idx"))).drop("_calls", "_run", "_tool", "_rank", "_slot", "_at")
+    rest = [c for c in df.columns if c not in ("conv_id", "idx", "_run", "_tool", "_rank", "_calls")]
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("_rank", F.lit(0)).alias("_rank"), "idx", F.struct(*rest).alias("m"))))
+    runs = df.groupBy("conv_id", "_run", "_tool").agg(F.array_sort(F.collect_list("idx")).alias("slots"), ranked.alias("rows"))
+    placed = F.transform("rows", lambda x, i: F.struct(F.get("slots", i).alias("idx"), x["m"].alias("m")))  # the k-th by rank takes the k-th place
+    return runs.select("conv_id", F.explode(placed).alias("x")).select("conv_id", "x.idx", "x.m.*")
 
 
 def with_head(df: DataFrame, version: T.Version, tool_schemas: Column | None = None, json_format: bool = False) -> DataFrame:
@@ -84,7 +85,8 @@ def normalize(df: DataFrame, version: T.Version) -> DataFrame:
 
 
 def render(df: DataFrame, version: T.Version = T.V41, thinking: bool = False, effort: str | None = None, required: bool = False, tool_schemas: Column | None = None, json_format: bool = False) -> DataFrame:
-    """(conv_id, prompt)."""
+    """(conv_id, prompt), and the images of user and tool messages in prompt order where `df` has images."""
+    shown = "images" in df.columns
     df = with_head(normalize(messages(df), version), version, tool_schemas, json_format)
     w = Window.partitionBy("conv_id").orderBy("idx")
     df = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_before", F.lag("role").over(w))
@@ -102,8 +104,11 @@ def render(df: DataFrame, version: T.Version = T.V41, thinking: bool = False, ef
         .otherwise(F.concat(F.lit(T.ASSISTANT), thought, "content", calls, F.lit(T.EOS)))
     )
     tail = T.ASSISTANT + (T.THINK if thinking else T.END_THINK) + (f"\n\n<{T.DSML}{version.block}>\n" if required else "")
-    parts = F.array_sort(F.collect_list(F.struct("_i", F.concat(begin, body).alias("t"))))
-    return df.groupBy("conv_id").agg(F.concat(F.lit(T.BOS), F.array_join(F.transform(parts, lambda x: x["t"]), ""), F.lit(tail)).alias("prompt"))
+    own = F.when(F.col("role").isin("user", "tool"), F.col("images"))
+    parts = F.array_sort(F.collect_list(F.struct("_i", F.concat(begin, body).alias("t"), *([own.alias("images")] if shown else []))))
+    prompt = F.concat(F.lit(T.BOS), F.array_join(F.transform("parts", lambda x: x["t"]), ""), F.lit(tail)).alias("prompt")
+    listed = F.flatten(F.transform(F.filter("parts", lambda x: x["images"].isNotNull()), lambda x: x["images"])).alias("images")
+    return df.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", prompt, *([listed] if shown else []))
 
 
 def segments(prompt: Column) -> Column:

@@ -157,3 +157,17 @@ def segment_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "conversations", "conv_id", "text")
     s = df.select("conv_id", F.explode(rendering.segments(F.concat(F.lit(T.BOS), F.coalesce("text", F.lit("")), F.lit(T.EOS)))).alias("s"))
     return s.groupBy("conv_id").agg(F.count_if(F.col("s.marker")).alias("n_markers"), F.count_if(~F.col("s.marker")).alias("n_plain"), F.sum(F.length("s.text")).alias("n_chars"))
+
+
+_SHOWN = "CASE WHEN (conv_id + turn) % 3 = 0 THEN {many} WHEN (conv_id + turn) % 3 = 1 THEN {one} ELSE {none} END"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'tool' ELSE role END AS role, {_SHOWN.format(many="['a' || turn, 'b' || turn]", one="['c' || turn]", none="[]::VARCHAR[]")} AS urls FROM conversations)
+  SELECT conv_id, coalesce(string_agg(array_to_string(urls, ','), ',' ORDER BY turn) FILTER (role IN ('user', 'tool') AND len(urls) > 0), '') AS images FROM m GROUP BY conv_id""")
+def render_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image sources in prompt order, beside the prompt: some turns as tool results, user turns in runs."""
+    df = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    one = lambda letter: f"named_struct('kind', 'url', 'url', concat('{letter}', turn), 'detail', 'high')"
+    shown = F.expr(_SHOWN.format(many=f"array({one('a')}, {one('b')})", one=f"array({one('c')})", none="array()"))
+    turns = df.select("conv_id", F.col("turn").cast("bigint").alias("idx"), F.expr("CASE WHEN turn % 4 = 2 THEN 'tool' ELSE role END").alias("role"), F.col("text").alias("content"), shown.cast(rendering.COLUMNS["images"]).alias("images"))
+    return rendering.render(turns).select("conv_id", F.array_join(F.transform("images", lambda i: i["url"]), ",").alias("images"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..operators import requests, streams
+from ..operators import budgets, requests, streams
 from .registry import collector, table
 
 QUERIES, ORACLES, query = collector()
@@ -151,3 +151,21 @@ def image_quota_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_max_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", *_KEYS, "l_partkey")
     return li.select(*_KEYS, images.max_side(F.count("*").over(Window.partitionBy("l_partkey"))).alias("max_side"))
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT l_suppkey AS request, l_orderkey // 512 AS call, l_orderkey * 10 + l_linenumber AS idx, l_quantity::BIGINT * 70000 * (1 + (l_orderkey % 97 = 0)::BIGINT * 9) AS n FROM lineitem),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY request ORDER BY call, idx, n) AS k, count(*) OVER (PARTITION BY request, call) AS size, row_number() OVER (PARTITION BY request, call ORDER BY idx, n) AS i FROM s),
+t AS (SELECT request, 0::BIGINT AS k, NULL::BIGINT AS call, 0::BIGINT AS images, 0::BIGINT AS bytes, 0::BIGINT AS run, NULL::VARCHAR AS kind, NULL::BIGINT AS failed_at, NULL::BIGINT AS figure, false AS ended FROM (SELECT DISTINCT request FROM s)
+  UNION ALL
+  SELECT request, k, call, CASE WHEN i = size AND kind IS NULL THEN images + size ELSE images END, CASE WHEN i = size AND kind IS NULL THEN run ELSE bytes END, run, kind, failed_at, figure, i = size FROM (
+    SELECT request, k, call, images, bytes, i, size, run + n AS run, CASE WHEN kind IS NOT NULL THEN kind WHEN n > {images.MAX_BYTES} THEN 'image_too_large' WHEN run + n > {images.MAX_TOTAL} THEN 'total_size_too_large' END AS kind,
+      CASE WHEN kind IS NULL AND (n > {images.MAX_BYTES} OR run + n > {images.MAX_TOTAL}) THEN idx ELSE failed_at END AS failed_at, CASE WHEN kind IS NULL AND n > {images.MAX_BYTES} THEN n WHEN kind IS NULL AND run + n > {images.MAX_TOTAL} THEN run + n ELSE figure END AS figure FROM (
+      SELECT r.request, r.k, r.call, r.i, r.size, r.n, r.idx, t.images, t.bytes, CASE WHEN i = 1 THEN t.bytes ELSE t.run END AS run, CASE WHEN i > 1 THEN t.kind WHEN t.images + r.size > {images.MAX_IMAGES} THEN 'too_many_images' END AS kind,
+        CASE WHEN i > 1 THEN t.failed_at END AS failed_at, CASE WHEN i > 1 THEN t.figure WHEN t.images + r.size > {images.MAX_IMAGES} THEN t.images + r.size END AS figure FROM t JOIN r ON r.request = t.request AND r.k = t.k + 1)))
+SELECT request, call, kind, failed_at, CASE kind WHEN 'too_many_images' THEN 'too many images: max {images.MAX_IMAGES} images per request, got ' || figure WHEN 'image_too_large' THEN 'image size ' || figure || ' bytes exceeds the limit of {images.MAX_BYTES} bytes'
+  WHEN 'total_size_too_large' THEN 'total image size ' || figure || ' bytes exceeds the limit of {images.MAX_TOTAL} bytes' END AS error, CASE WHEN kind IS NOT NULL THEN 400 END::INTEGER AS status, images, bytes FROM t WHERE ended""")
+def image_call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as requests, runs of orders as their calls, lines as images: what each call adds, or why it fails."""
+    li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    size = F.col("l_quantity").cast("bigint") * 70000 * (1 + (F.col("l_orderkey") % 97 == 0).cast("bigint") * 9)
+    return budgets.resolve_calls(li.select(F.col("l_suppkey").alias("request"), F.expr("l_orderkey div 512").alias("call"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), size.alias("n_bytes")))

@@ -114,6 +114,25 @@ for _p in conversion.CONVERTERS:
     _convert(_p)
 
 
+_BROKEN = {  # by conv_id modulo 6: items behind the turns, and the error; @ stands for the number of the first of them
+    1: ('{"type":"function_call","call_id":"","name":"f","arguments":"{}"}', "'Invalid ''input[' || n || '].call_id'': empty string. Expected a string with minimum length 1, but got an empty string instead.'"),
+    2: ('{"type":"function_call","call_id":"a#","name":"f","arguments":"{}"},{"type":"function_call","call_id":"a#","name":"f","arguments":"{}"}', "'Duplicate ''call_id'': a' || conv_id || '.'"),
+    3: ('{"type":"function_call","call_id":"a#","name":"f","arguments":"{}"},{"type":"function_call_output","call_id":"a#","output":"r"},{"type":"function_call_output","call_id":"a#","output":"r"}', "'Duplicate tool output for call_id: a' || conv_id || '.'"),
+    4: ('{"type":"function_call","call_id":"a#","name":"f","arguments":"{}"},{"type":"function_call_output","call_id":"b#","output":"r"}', "'No tool call found for tool output with call_id b' || conv_id || '.'"),
+    5: ('{"type":"function_call","call_id":"z#","name":"f","arguments":"{}"},{"type":"function_call","call_id":"b#","name":"f","arguments":"{}"},{"type":"function_call","call_id":"a#","name":"f","arguments":"{}"},{"type":"function_call_output","call_id":"z#","output":"r"},{"role":"user","content":"go"}', "'No tool output found for tool call b' || conv_id || '.'"),
+}
+
+
+@query("WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, CASE conv_id % 6 " + " ".join(f"WHEN {k} THEN {e}" for k, (_, e) in _BROKEN.items()) + " END AS error FROM g")
+def call_output_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and outputs that don't fit each other behind the turns of a conversation: the five ways, the first pending call named."""
+    g = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    turns = F.array_join(F.transform("m", lambda x: F.to_json(F.struct(x["role"].alias("role"), x["content"].alias("content")))), ",")
+    extra = F.coalesce(*(F.when(F.pmod("conv_id", F.lit(6)) == k, F.replace(F.lit("," + items), F.lit("#"), F.col("conv_id").cast("string"))) for k, (items, _) in _BROKEN.items()), F.lit(""))
+    bodies = g.select("conv_id", F.lit("responses").alias("protocol"), F.concat(F.lit('{"model":"m","input":['), turns, extra, F.lit("]}")).alias("body"))
+    return conversion.convert(bodies, "conv_id", protocols=("responses",)).select("conv_id", "error")
+
+
 if tokenizer_path():
 
     @query("SELECT doc_id, true AS same FROM documents")
