@@ -5,7 +5,8 @@ licence file. Else its header, the lines that speak of a licence, is compared, l
 of words, weighted by TF-IDF over the templates and compared by cosine: a fixed, small matrix of the templates'
 weights goes to each task. A
 file without a match of its own takes the licence of the nearest directory above it that has a licence file: its
-ancestors' paths are joined to the directories that have one, and the longest path wins.
+ancestors' paths are joined to the directories that have one, and the longest path wins. Licences that are another's text with
+a few passages of their own (AGPL-3.0, BSD-4-Clause) have such a text as template, so the nearer one names the file.
 
 Scale: each text is turned into terms once, and isn't shuffled. Licence
 directories are aggregated before the join; the ancestors of a file are as many as its path is deep.
@@ -35,6 +36,7 @@ from .common import table, written
 NAMES = {
     "Apache-2.0": (("Apache License, Version 2.0", "Apache License 2.0"), ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",)),
     "AGPL-3.0": (("GNU Affero General Public License, version 3", "AGPLv3"), ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",)),
+    "BSD-4-Clause": (("BSD 4-Clause License", "Original BSD License"), ()),
     "BSD-2-Clause": (("BSD 2-Clause License", "Simplified BSD License"), ()),
     "BSD-3-Clause": (("BSD License", "BSD 3-Clause License", "BSD-style license"), ("Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",)),
     "BSL-1.0": (("Boost Software License, Version 1.0",), ()),
@@ -55,14 +57,43 @@ NAMES = {
 }
 
 
+#: Licences whose full text is another's with a few passages of its own: (the other, what is replaced, what comes with it).
+ADVERTISING = """3. All advertising materials mentioning features or use of this software must display the following
+acknowledgement: This product includes software developed by the copyright holder.
+
+4. Neither"""
+NETWORK = """13. Remote Network Interaction; Use with the GNU General Public License.
+
+Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer
+all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity
+to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at
+no charge, through some standard or customary means of facilitating copying of software."""
+VARIANTS = {
+    "AGPL-3.0": ("GPL-3.0", (("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE"), ("GNU General Public License", "GNU Affero General Public License"), ("GNU Affero Affero", "GNU Affero")), NETWORK),
+    "BSD-4-Clause": ("BSD-3-Clause", (("3. Neither", ADVERTISING),), ""),
+}
+
+
+def full_text(spdx: str) -> str | None:
+    """A licence's whole text, where there is one."""
+    other, changes, more = VARIANTS.get(spdx, (spdx, (), ""))
+    path = Path(__file__).parent / "licenses" / f"{other}.txt"
+    if not path.exists():
+        return None
+    text = path.read_text()
+    for old, new in changes:
+        text = text.replace(old, new)
+    return f"{text}\n{more}" if more else text
+
+
 def default_templates() -> dict[str, tuple[str, ...]]:
     """Of each licence: its full text where there is one, statements of its names, SPDX lines and sentences of notices."""
     out = {}
     for spdx, (names, notices) in NAMES.items():
-        full = Path(__file__).parent / "licenses" / f"{spdx}.txt"
+        full = full_text(spdx)
         ids = [spdx, *([f"{spdx}-only", f"{spdx}-or-later"] if "GPL" in spdx else [])]
         said = [f"{verb} under the {n}" for n in names for verb in ("Licensed", "Released", "This work is licensed")]
-        out[spdx] = (*([full.read_text()] if full.exists() else []), *said, *(f"SPDX-License-Identifier: {i}" for i in ids), *notices)
+        out[spdx] = (*([full] if full else []), *said, *(f"SPDX-License-Identifier: {i}" for i in ids), *notices)
     return out
 
 
@@ -124,7 +155,8 @@ def header(text: Column) -> Column:
 
 
 def matches(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, scan: Scan = Scan()) -> DataFrame:
-    """(file, path, own, score, is_license_file) for files that match a template as a whole or by their header; `files`: file, path, text."""
+    """(file, path, own, score, is_license_file) of each row of `files` (file, path, text); own is null where neither the
+    whole text nor the header matches a template."""
     weight = weights(default_templates() if templates is None else templates)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +164,17 @@ def matches(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = Non
         for batch in batches:
             rows = []
             for file, path, text, head in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                own, score = model.best(text)
+                own, score = model.best(text) if text else ("", 0.0)
                 if not (whole := score >= scan.least_whole_cosine):
                     # each line by itself, too: a licence that is named among others still matches
                     found = [model.best(x) for x in dict.fromkeys([*head, "\n".join(head)])]
                     own, score = min(found, key=lambda x: (-x[1], x[0]), default=("", 0.0))
-                if whole or score >= scan.least_cosine:
-                    rows.append((file, path, own, score, whole))
+                fits = whole or score >= scan.least_cosine
+                rows.append((file, path, own if fits else None, score if fits else 0.0, whole))
             kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "path", "own", "score", "is_license_file"])
 
-    texts = files.filter(F.col("text") != "").select("file", "path", "text", header(F.col("text")).alias("head"))
+    texts = files.select("file", "path", "text", header(F.col("text")).alias("head"))
     return texts.mapInArrow(compare, "file string, path string, own string, score double, is_license_file boolean")
 
 
@@ -154,15 +186,12 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None,
     """(file, path, license, score, found: header, file, inherited or none, from_path) of each file."""
     found = written(matches(files, templates, how))
     dirs = found.filter("is_license_file").groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("own").alias("name"))).alias("l"))
-    every = files.select("file", "path")
     # directories, not files, look for their ancestors: there are fewer, and a hot one is looked up once
-    asked = every.select(directory(F.col("path")).alias("of")).distinct().select("of", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(F.split("of", "/"))), lambda n: F.array_join(F.slice(F.split("of", "/"), F.lit(1), n), "/")))).alias("dir"))
+    asked = found.select(directory(F.col("path")).alias("of")).distinct().select("of", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(F.split("of", "/"))), lambda n: F.array_join(F.slice(F.split("of", "/"), F.lit(1), n), "/")))).alias("dir"))
     nearest = asked.join(dirs, "dir").groupBy("of").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", F.col("l.name").alias("name"))).alias("near")).select("of", F.col("near.dir").alias("dir"), F.col("near.name").alias("name"))
-    own = found.select(F.col("file").alias("_file"), F.col("path").alias("_path"), "own", "score", "is_license_file").distinct()
-    out = every.join(own, F.col("file").eqNullSafe(F.col("_file")) & F.col("path").eqNullSafe(F.col("_path")), "left")
-    out = out.withColumn("of", directory(F.col("path"))).join(nearest, "of", "left")
+    out = found.withColumn("of", directory(F.col("path"))).join(nearest, "of", "left")
     kind = F.when(F.col("own").isNotNull(), F.when(F.col("is_license_file"), "file").otherwise("header")).when(F.col("name").isNotNull(), "inherited").otherwise("none")
-    return out.select("file", "path", F.coalesce("own", "name").alias("license"), F.coalesce("score", F.lit(0.0)).alias("score"), kind.alias("found"), F.when(F.col("own").isNull(), F.col("dir")).alias("from_path"))
+    return out.select("file", "path", F.coalesce("own", "name").alias("license"), "score", kind.alias("found"), F.when(F.col("own").isNull(), F.col("dir")).alias("from_path"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
