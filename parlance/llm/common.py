@@ -30,9 +30,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none (tests, local runs)."""
+    """The folder that driver and executors share; one is made only where the session names none and there is but one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
