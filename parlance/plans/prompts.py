@@ -171,3 +171,28 @@ def render_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.expr(_SHOWN.format(many=f"array({one('a')}, {one('b')})", one=f"array({one('c')})", none="array()"))
     turns = df.select("conv_id", F.col("turn").cast("bigint").alias("idx"), F.expr("CASE WHEN turn % 4 = 2 THEN 'tool' ELSE role END").alias("role"), F.col("text").alias("content"), shown.cast(rendering.COLUMNS["images"]).alias("images"))
     return rendering.render(turns).select("conv_id", F.array_join(F.transform("images", lambda i: i["url"]), ",").alias("images"))
+
+
+def _with_results(version: T.Version) -> None:
+    """Turns as user, assistant with two calls, their results the other way round, and a reminder, over and over."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+        k = F.col("turn") % 5
+        role = F.element_at(F.array(*(F.lit(x) for x in ("user", "assistant", "tool", "tool", "latest_reminder"))), (k + 1).cast("int"))
+        turns = df.select(
+            "conv_id", F.col("turn").cast("bigint").alias("idx"), role.alias("role"), F.col("text").alias("content"), F.when(k == 1, F.concat(F.lit("calls of "), F.col("turn").cast("string"))).alias("tool_calls"),
+            F.when(k == 1, F.array(F.lit("b"), F.lit("a"))).alias("call_ids"), F.when(k == 2, "a").when(k == 3, "b").alias("tool_call_id"),
+        )
+        return rendering.render(turns, version)
+
+    result = "'<tool_result>' || {} || '</tool_result>'"
+    sql = f"""WITH t AS (SELECT conv_id, turn, turn % 5 AS k, text, lag(text) OVER w AS before, lead(text) OVER w AS behind FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+      p AS (SELECT conv_id, turn, CASE k WHEN 0 THEN {_q(T.USER)} || text WHEN 1 THEN {_q(T.ASSISTANT + T.END_THINK)} || text || chr(10) || chr(10) || 'calls of ' || turn || {_q(T.EOS)} WHEN 2 THEN {_q(T.USER)} || {result.format("coalesce(behind, text)")}
+        WHEN 3 THEN chr(10) || chr(10) || {result.format("before")} ELSE {_q(T.LATEST_REMINDER)} || text END AS s FROM t)
+      SELECT conv_id, {_q(T.BOS)} || string_agg(s, '' ORDER BY turn) || {_q(T.ASSISTANT + T.END_THINK)} AS prompt FROM p GROUP BY conv_id"""
+    query(sql, f"render_tool_results_{version.name}")(run)
+
+
+for _v in (T.V4, T.V41):
+    _with_results(_v)
