@@ -43,7 +43,7 @@ WITH m0 AS (SELECT conv_id, turn AS idx, {role} AS role, coalesce(text, '') AS c
 SELECT conv_id, {_q(T.BOS)} || string_agg(t, '' ORDER BY i) || {_q(T.ASSISTANT + (T.THINK if thinking else T.END_THINK) + (f"{chr(10)}{chr(10)}<{T.DSML}{version.block}>{chr(10)}" if required else ""))} AS prompt FROM p GROUP BY conv_id"""
 
 
-_RUNS = dict(keep="role <> 'assistant'")
+_RUNS = dict(role="CASE WHEN turn % 4 = 1 THEN 'user' ELSE role END")
 _MID = dict(role="CASE WHEN turn % 3 = 2 THEN 'system' ELSE role END")
 
 
@@ -75,12 +75,13 @@ for _v in (T.V4, T.V41):
     _register(f"render_tools_json_{_v.name}", _v, True, tools=_TOOLS, json_format=True)
 
 
-@query("""
-WITH m AS (SELECT conv_id, turn, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE role <> 'assistant' AND role = 'user'),
-s AS (SELECT *, (SELECT count(*) FROM conversations c WHERE c.conv_id = m.conv_id AND c.role = 'system' AND c.turn < m.turn) AS sys FROM m)
-SELECT conv_id, min(turn)::BIGINT AS first_turn, count(*)::BIGINT AS n_turns, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM s GROUP BY conv_id, sys""")
+@query(f"""
+WITH m AS (SELECT conv_id, turn, text, {_RUNS["role"]} AS role FROM conversations),
+r AS (SELECT *, sum(CASE WHEN role <> 'user' OR coalesce(before <> 'user', true) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM m)),
+u AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM r WHERE role = 'user')
+SELECT conv_id, min(turn)::BIGINT AS first_turn, any_value(n)::BIGINT AS n_turns, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM u GROUP BY conv_id, run""")
 def normalize_merge_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the assistant turns, each conversation's user turns are one run."""
+    """With some assistant turns taken for the user's, user turns come in runs of three."""
     df = rendering.messages(_messages(spark, sf_dir, **_RUNS))
     n = df.filter("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n_turns"))
     merged = rendering.merge_runs(df).filter("role = 'user'")

@@ -62,9 +62,10 @@ def stringify_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events", "event_id", "props").select("event_id", jsontext.to_compact(F.col("props")).alias("t"))
 
 
-@query(f"SELECT doc_id, split_part(left(text, 20) || '{T.EOS}' || text, '{T.EOS}', 1) AS t FROM documents")
+@query(f"SELECT doc_id, split_part(replace(text, '. ', '{T.EOS}'), '{T.EOS}', 1) AS t FROM documents")
 def truncate_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.substring("text", 1, 20), F.lit(T.EOS), F.col("text"))
+    """Texts with an end token for each sentence end but those at line ends, up to the first."""
+    t = F.replace(F.col("text"), F.lit(". "), F.lit(T.EOS))
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.substring_index(t, T.EOS, 1).alias("t"))
 
 
