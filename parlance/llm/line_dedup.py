@@ -3,7 +3,7 @@
 A line is the set of its five-word shingles (A-Z folded). Shingles are ordered by rarity; a line's first
 n - ceil(t n) + 1 are its prefix, and lines of Jaccard similarity t or more share one of these. Candidates pass the
 length filter and the positional filter (what can still follow the two positions must be enough), then their
-whole sets are compared. A line goes if an earlier line of any document matches it: order is (doc_id, text,
+whole sets are compared. A line goes if an earlier line of any document matches it: order is (doc_id, a hash of the text,
 line number), so the first of all matching lines always stays.
 
 Lines of the same words are one from the start, however many copies there are. Each list's earliest member, then for each
