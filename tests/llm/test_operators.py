@@ -213,6 +213,29 @@ def test_suffix_dedup(docs, empty, rows):
     assert suffix_dedup.removal(empty).count() == 0
 
 
+def test_suffix_dedup_opens_only_shared_anchors(spark):
+    """Anchors are minima: by their top bits alone, a bitmap of few of them lets nearly all through."""
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcdefgh ", k=3000)) for _ in range(300)]
+    found = [suffix_dedup.contexts(np.frombuffer(t.encode(), dtype=np.uint8), suffix_dedup.Spans()).anchor for t in texts]
+    few = suffix_dedup.bitmap_of(spark.createDataFrame([(x,) for x in np.concatenate(found[:60]).view(np.int64).tolist()], "key bigint"), 14)
+    rest = np.concatenate(found[60:])
+    assert suffix_dedup.in_bitmap(few, rest).mean() < 0.2
+    # a context alone with its anchor is no shard's
+    alone = spark.createDataFrame([(i, 0, b"x" * 900) for i in range(50)], "anchor bigint, same bigint, bytes binary")
+    assert suffix_dedup._shards(alone, suffix_dedup.Spans()).count() == 0
+
+
+def test_suffix_dedup_windows_that_repeat_within():
+    r = random.Random(5)
+    part = "".join(r.choices("ab", k=70))
+    how = suffix_dedup.Spans(length=40, gram=8)
+    for text in ("a" * 200, part, part + "c" + part, part[:50] + part + part[20:], "abc" * 50 + part + "abc" * 20):
+        b = text.encode()
+        want = [i for i in range(len(b) - 39) if sum(b[j : j + 40] == b[i : i + 40] for j in range(len(b) - 39)) > 1]
+        assert suffix_dedup.contexts(np.frombuffer(b, dtype=np.uint8), how, inner=True).inner.tolist() == want
+
+
 def test_induced_sorting():
     rng = random.Random(4)
     for _ in range(20):
