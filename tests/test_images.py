@@ -42,6 +42,15 @@ def test_calls_that_fail_count_for_nothing(spark):
     assert budgets.resolve_calls(spark.createDataFrame([], SOURCES)).collect() == []
 
 
+def test_equal_images_are_interchangeable(spark):
+    """Repeated rows tie in every order: each counts, and the totals don't hang on how ties fall."""
+    rng = random.Random(6)
+    rows = [(q, c, i, rng.choice([1, 5, 9])) for q in range(6) for c in range(4) for i in range(2)] * 3
+    for n in (1, 5):
+        got = budgets.resolve_calls(spark.createDataFrame(rows, SOURCES).repartition(n), 30, 20, 60).collect()
+        assert {(r["request"], r["call"]): (r["kind"], r["failed_at"], r["images"], r["bytes"]) for r in got} == _calls(rows, 30, 20, 60)
+
+
 def test_failures(spark):
     rows = [("url_too_long", "9000", "8192"), ("too_many_images", "600", "601"), ("fetch_status", "http://x", "503"), ("empty_image", None, None), ("client", "no", None), ("token_budget", "over", None), ("invalid_base64", "x", None), ("fetch_disabled", "u", None), (None, None, None)]
     kind = budgets.kind_of(F.col("k"))
