@@ -138,3 +138,19 @@ def test_requests_and_their_streams(spark):
     events = processing.to_events(processing.with_requests(_chunks(spark, ["a", "a"]), conversion.convert(df, "stream_id", protocols=("chat_completions",))), "chat_completions").collect()
     with_field = {s: [("usage" in json.loads(r["data"])) for r in sorted(events, key=lambda r: r["event_seq"]) if r["stream_id"] == s] for s in (0, 1)}
     assert with_field[0] == [False] * (len(with_field[0]) - 1) + [True] and all(with_field[1])
+
+
+def test_streams_share_batches(spark):
+    """Many short streams, cut and dealt anyhow: each as if alone, without a call of Python for each."""
+    chunks = spark.range(3000).selectExpr("id as stream_id").selectExpr("stream_id", "explode(sequence(0L, stream_id % 7)) as seq")
+    chunks = chunks.selectExpr("stream_id", "seq", "'text' as kind", "concat('w', seq, ' ') as content", "1L as content_tokens", *(f"cast(null as {k}) as {n}" for n, k in (x.split() for x in processing.CHUNK.split(", ")[5:])))
+    r = processing.to_responses(chunks.orderBy(F.rand(3)), "chat_completions")
+    got = {x["stream_id"]: json.loads(x["response"]) for x in r.collect()}
+    assert {k: v["choices"][0]["message"]["content"] for k, v in got.items()} == {i: "".join(f"w{j} " for j in range(i % 7 + 1)) for i in range(3000)}
+    assert {k: v["usage"]["completion_tokens"] for k, v in got.items()} == {i: i % 7 + 1 for i in range(3000)}
+    e = processing.to_events(chunks, "chat_completions")
+    assert {x["stream_id"]: x["n"] for x in e.groupBy("stream_id").agg(F.countDistinct("event_seq").alias("n")).collect()} == {i: i % 7 + 3 for i in range(3000)}
+    assert _responses(processing.accumulate(e, "chat_completions")) == _responses(r)
+    for f in (r, e, processing.accumulate(e, "chat_completions")):
+        assert "FlatMapGroupsInPandas" not in f._jdf.queryExecution().executedPlan().toString()
+    assert processing.to_responses(chunks.limit(0), "messages").collect() == []
