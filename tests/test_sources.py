@@ -2,6 +2,7 @@ import hashlib
 import json
 import struct
 
+import pyarrow as pa
 import pytest
 
 from parlance.plans import catalog
@@ -166,3 +167,24 @@ def test_prompts_are_encoded_as_the_library_does(spark):
     got = catalog.QUERIES["encode_prompt"](spark, d).collect()
     want = {c: theirs.encode(p, add_special_tokens=False).ids for c, p in prompts.items()}
     assert {r["conv_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got} == {c: (len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for c, i in want.items()}
+
+
+def test_batches_in_runs_of_bounded_size():
+    lists = [["x"] * n for n in (3, 0, 4, 20, 1, 1, 5, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], ["k", "pieces"])
+    for b, want in ((batch, [[0, 1, 2], [3], [4, 5, 6, 7]]), (batch.slice(2), [[2], [3], [4, 5, 6, 7]]), (batch.slice(0, 0), [])):
+        got = list(tokenizer_file._slices(b, 7))
+        assert [x.column(0).to_pylist() for x in got] == want
+        assert [y for x in got for y in x.column(1).to_pylist()] == b.column(1).to_pylist()
+
+
+def test_encode_in_runs(spark, monkeypatch):
+    """Runs of a few pieces, or one, give the ids of whole batches; nulls, empty texts and long pieces among them."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    t = tokenizer_file.Tokenizer.load(path)
+    rows = [(i, x) for i, x in enumerate([None, "", "a b c", "z" * 500, "one <|endoftext|> two", "", "x " * 50] * 3)]
+    df = spark.createDataFrame(rows, "k bigint, t string").coalesce(1)
+    want = {r["k"]: r["ids"] for r in tokenizer_file.encode(df, "k", "t", t).collect()}
+    monkeypatch.setattr(tokenizer_file, "AT_ONCE", 2)
+    assert {r["k"]: r["ids"] for r in tokenizer_file.encode(df, "k", "t", t).collect()} == want
+    assert {k: t.decode(v) for k, v in want.items()} == {k: x or "" for k, x in rows}
