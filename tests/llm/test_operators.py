@@ -7,9 +7,11 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from parlance.llm import bpe, chat_format, fingerprints, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules, sets, suffix_dedup
+from parlance.llm import bpe, chat_format, common, fingerprints, jaccard_join, license_scan, line_dedup, mixing, quality_classifier, quality_rules, sets, suffix_dedup
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,6 +228,29 @@ def test_suffix_dedup_opens_only_shared_anchors(spark):
     assert suffix_dedup._shards(alone, suffix_dedup.Spans()).count() == 0
 
 
+def test_suffix_dedup_sends_a_context_once(spark, monkeypatch):
+    """However many copies there are and wherever they stand, a context whose anchor others have too goes on once."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    base = [word() for _ in range(400)]
+    near = [" ".join([*base[:i], word(), *base[i + 1 :]]) for i in range(0, 400, 40)]
+    docs = spark.createDataFrame([(i, near[i % 10]) for i in range(200)], "doc_id bigint, text string").repartition(20)
+    sent, send = [], suffix_dedup._open_contexts
+    monkeypatch.setattr(suffix_dedup, "_open_contexts", lambda *a: sent.append(send(*a)) or sent[-1])
+    out = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removal(docs).collect()}
+    assert out == {i: len(near[i % 10]) for i in range(200)}
+    rows = sent[0].select("anchor", "same").collect()
+    assert rows and len(rows) < 1.2 * len(set(rows))
+    # a passage in many different texts: parts of its contexts, not a row for each window
+    words = [" ".join([*(word() for _ in range(70)), *base[:45], *(word() for _ in range(70))]) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(words)], "doc_id bigint, text string")
+    cold = Counter(map(tuple, suffix_dedup.removal(docs, suffix_dedup.Spans(length=300)).collect()))
+    assert sum(r[2] > 0 for r in cold) == 60
+    assert Counter(map(tuple, suffix_dedup.removal(docs, suffix_dedup.Spans(length=300, hot=20)).collect())) == cold
+    n = [r["c"] for r in sent[-1].groupBy("anchor", "same").agg(F.count("*").alias("c"), F.count("core").alias("k")).filter("k > 0").collect()]
+    assert len(n) >= 60 and max(n) <= 20
+
+
 def test_suffix_dedup_windows_that_repeat_within():
     r = random.Random(5)
     part = "".join(r.choices("ab", k=70))
