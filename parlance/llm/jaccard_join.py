@@ -73,6 +73,8 @@ def _measured(docs: DataFrame, how: Join) -> tuple[DataFrame, tuple[bytes, bytes
                 stats.add(s)
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
+            if stats.full:
+                yield pa.RecordBatch.from_pylist([*stats.rows()], schema=schema)
             nothing = [pa.nulls(len(n), f.type) for f in STATS]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), batch.column(2), *nothing], schema=schema)
         for row in stats.rows():

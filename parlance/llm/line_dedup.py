@@ -39,6 +39,7 @@ from .common import Shared, bitmap_of, discard, in_bitmap, table, written
 from .sets import _MIX, PIECE, STATS, STATS_DDL, Rarity, Stats, bucket, in_batches, merged_stats, met, mixed, overlap, placed_words, reach, shingles, usable
 
 LINE_BITS = 20  # of a line's number in its buffer, in sort keys
+MOST_SEEN = 1 << 17  # keys that a task remembers to send a line once; then it begins anew
 MOST_LINES = 1 << LINE_BITS  # of a buffer, blank ones too; texts and batches are cut so that no number has more bits
 
 
@@ -159,23 +160,28 @@ def _places(first: np.ndarray, info: list[tuple], lines: np.ndarray) -> tuple[np
 
 def _occurrences(docs: DataFrame, how: Lines) -> tuple[DataFrame, tuple[bytes, bytes], DataFrame]:
     """(doc_id, rh, line, place, key) of each line that has a set, place being a hash of the first three; what is known of
-    the tokens; the table behind both. A buffer's copies of a line count once, so copies hardly make tokens frequent."""
+    the tokens; the table behind both. A task's copies of a line count about once, so copies hardly make tokens frequent."""
     schema = pa.schema([("doc_id", pa.int64()), ("rh", pa.int64()), ("line", pa.int64()), ("place", pa.int64()), ("key", pa.binary()), *STATS])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats = Stats()
+        stats, known = Stats(), set()
         for batch in batches:
             for data, first, info in _buffers(*(batch.column(i).to_pylist() for i in range(3))):
                 s = line_sets(data, how)
                 if not len(s.line):
                     continue
                 once = np.fromiter(dict(zip(reversed(s.keys), range(len(s.keys) - 1, -1, -1), strict=True)).values(), np.int64)
+                once = once[[s.keys[i] not in known for i in once.tolist()]]
+                known = set() if len(known) > MOST_SEEN else known
+                known.update(s.keys[i] for i in once.tolist())
                 wanted = np.zeros(len(s.line), dtype=bool)
                 wanted[once] = True
                 stats.add(s.tokens[np.repeat(wanted, s.size)])
                 at, number, place = _places(first, info, s.line)
                 ids, hashes = pa.array([x[0] for x in info], pa.int64()), pa.array([x[1] for x in info], pa.int64())
                 nothing = [pa.nulls(len(at), f.type) for f in STATS]
+                if stats.full:
+                    yield pa.RecordBatch.from_pylist([*stats.rows()], schema=schema)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), hashes.take(pa.array(at)), pa.array(number), pa.array(place.view(np.int64)), pa.array(s.keys, pa.binary()), *nothing], schema=schema)
         for row in stats.rows():
             yield pa.RecordBatch.from_pylist([row], schema=schema)
@@ -199,8 +205,10 @@ def _index(docs: DataFrame, firsts: Shared, stats: tuple[bytes, bytes], how: Lin
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, bitmap = Rarity(*shared.get()), np.frombuffer(firsts.get()[0], dtype=np.uint64)
+        seen: set[bytes] = set()
         for batch in batches:
-            seen: set[bytes] = set()
+            if len(seen) > MOST_SEEN:
+                seen = set()
             columns: list[list] = [[], [], [], [], []]
             for s in _first_lines(batch, bitmap, how):
                 f = rarity.frequency(s.tokens)

@@ -395,3 +395,32 @@ def test_chat_logs_have_all_kinds_and_fold_back(spark):
     assert len({(e["conv_id"], e["seq"]) for e in events}) == len(events)
     folded = sorted(chat_format.fold(log).collect(), key=lambda r: (r["conv_id"], r["message"]))
     assert [(r["conv_id"], r["role"], r["text"]) for r in folded] == [(r[0], r[2], r[3]) for r in rows]
+
+
+def test_rarity_is_not_blurred_by_tokens_seen_once(spark):
+    """Tokens seen once add nothing to a cell's count; what a task hands over follows its tokens, not the bitmaps' size."""
+    rng = np.random.default_rng(3)
+    top = lambda bit: np.uint64(int(bit) << (64 - sets.SEEN_BITS))
+    cell = 8 * int(rng.integers(1 << 20))
+    once, twice, often = [top(cell + i) for i in range(6)], top(cell + 6), top((1 << 24) + 1)
+    parts = []
+    for k in range(2):
+        stats = sets.Stats()
+        stats.add(np.sort(np.array([*once[3 * k : 3 * k + 3], twice], dtype=np.uint64)))
+        for _ in range(200):
+            stats.add(np.array([often], dtype=np.uint64))
+        stats.add(np.sort(rng.integers(1 << 40, 1 << 63, 1000, dtype=np.uint64) | np.uint64(1 << 63)))
+        parts += [tuple(r.values()) for r in stats.rows()]
+        assert not [*stats.rows()]
+    assert sum(len(a) + len(n) for _, a, n in parts) < 2 * 1000 * 30
+    f = sets.Rarity(*sets.merged_stats(spark.createDataFrame(parts, sets.STATS_DDL))).frequency(np.array([*once, twice, often], dtype=np.uint64))
+    assert f[:6].tolist() == [0.0] * 6
+    assert f[6] == 2
+    assert 360 <= f[7] <= 400
+    a, n = rng.integers(1 << 27, size=900_000, dtype=np.uint64), sets.Stats()
+    for x in np.array_split(a << np.uint64(37), 9):
+        n.add(x)
+    n._merge()
+    at, counts = np.unique(a, return_counts=True)
+    assert (n.at == at).all() and (n.counts == counts).all()
+    assert sum(len(r["at"]) + len(r["counts"]) for r in n.rows()) < 2 * len(at)  # dense arrays: 7 bytes a token and more
