@@ -424,3 +424,13 @@ def test_rarity_is_not_blurred_by_tokens_seen_once(spark):
     at, counts = np.unique(a, return_counts=True)
     assert (n.at == at).all() and (n.counts == counts).all()
     assert sum(len(r["at"]) + len(r["counts"]) for r in n.rows()) < 2 * len(at)  # dense arrays: 7 bytes a token and more
+
+
+def test_written_tables_pass_small_batches(spark):
+    """A batch of whole texts stands in memory several times; the session's own limit comes back afterwards."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"]) for b in batches)
+    got = [r["n"] for r in common.written(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n bigint")).collect()]
+    assert sum(got) == 5000 and max(got) <= common.MOST_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert sets._powers(1 << 17)[0].base is sets._powers(1 << 16)[0].base  # one pair of tables for all sizes
